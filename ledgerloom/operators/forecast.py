@@ -8,6 +8,7 @@ accepted history). All candidate forecasters are array expressions, so every
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,29 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times, or per array element, but evaluate it once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _centred(values: Column) -> Column:
+    """struct<n, mean, z>: the series and its deviations from the mean."""
+    level = F.struct(values.alias("v"), F.size(values).cast("double").alias("n"), _sum(values).alias("total"))
+    return _bind(
+        level,
+        lambda s: _bind(
+            F.struct(s["v"].alias("v"), s["n"].alias("n"), F.try_divide(s["total"], s["n"]).alias("mean")),
+            lambda t: F.struct(
+                t["n"].alias("n"), t["mean"].alias("mean"), F.transform(t["v"], lambda y: y - t["mean"]).alias("z")
+            ),
+        ),
+    )
+
+
+def _squares(z: Column) -> Column:
+    return F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x)
+
+
 def last3(values: Col) -> Column:
     v = as_col(values)
     return F.slice(v, F.greatest(F.size(v) - 2, F.lit(1)), F.lit(3))
@@ -45,13 +69,14 @@ def forecast_median3(values: Col) -> Column:
 
 def forecast_linear(values: Col) -> Column:
     """Least-squares line over 0..n-1, read at n."""
-    v = as_col(values)
-    n = F.size(v).cast("double")
-    middle = (n - 1) / 2
-    spread = n * (n * n - 1) / 12
-    moment = _sum(F.transform(v, lambda y, i: y * (i - middle)))
-    slope = F.coalesce(F.try_divide(moment, spread), F.lit(0.0))
-    return F.try_divide(_sum(v), n) + slope * (n - middle)
+
+    def line(s: Column) -> Column:
+        middle = (s["n"] - 1) / 2
+        moment = _sum(F.transform(s["z"], lambda z, i: z * i))
+        slope = F.coalesce(F.try_divide(moment, s["n"] * (s["n"] * s["n"] - 1) / 12), F.lit(0.0))
+        return s["mean"] + slope * (s["n"] - middle)
+
+    return _bind(_centred(as_col(values)), line)
 
 
 def forecast_croston(values: Col, alpha: float = DEFAULTS.croston_alpha) -> Column:
@@ -82,57 +107,58 @@ def forecast_ar1(values: Col) -> Column:
     sums, so the grid costs a constant amount per series. A constant series
     predicts its mean.
     """
-    v = as_col(values)
-    n = F.size(v).cast("double")
-    mean = F.try_divide(_sum(v), n)
-    centred = F.transform(v, lambda y: y - mean)
-    stats = F.struct(
-        n.alias("n"),
-        mean.alias("mean"),
-        F.get(centred, F.lit(0)).alias("first"),
-        F.get(centred, F.size(v) - 1).alias("last"),
-        _sum(F.transform(centred, lambda z: z * z)).alias("squares"),
-        _sum(
-            F.zip_with(
-                F.slice(centred, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
-                F.slice(centred, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))),
-                lambda a, b: a * b,
-            )
-        ).alias("cross"),
-    )
+    one = F.lit(1.0)
+
+    def stats(s: Column) -> Column:
+        z, rest = s["z"], F.greatest(F.size(s["z"]) - 1, F.lit(0))
+        neighbours = F.zip_with(
+            F.slice(z, F.lit(2), rest), F.slice(z, F.lit(1), rest), lambda a, b: a * b
+        )
+        return F.struct(
+            s["n"].alias("n"),
+            s["mean"].alias("mean"),
+            F.get(z, F.lit(0)).alias("first"),
+            F.get(z, F.size(z) - 1).alias("last"),
+            _squares(z).alias("squares"),
+            _sum(neighbours).alias("cross"),
+        )
 
     def fitted(s: Column, phi: Column) -> Column:
+        # The deviations sum to zero, so those without the first sum to -first.
         n1 = s["n"] - 1
-        later, earlier = -s["first"], -s["last"]  # sums of z_2..z_n and z_1..z_{n-1}; all of z sums to zero
-        one = F.lit(1.0)
-        level = ((one - phi * phi) * s["first"] + (one - phi) * (later - phi * earlier)) / (
-            (one - phi * phi) + n1 * (one - phi) * (one - phi)
+        spread = one - phi * phi
+        level = (spread * s["first"] + (one - phi) * (phi * s["last"] - s["first"])) / (
+            spread + n1 * (one - phi) * (one - phi)
         )
-        head = s["first"] - level
-        sq_later = s["squares"] - s["first"] * s["first"] - level * 2 * later + n1 * level * level
-        sq_earlier = s["squares"] - s["last"] * s["last"] - level * 2 * earlier + n1 * level * level
-        products = s["cross"] - level * (later + earlier) + n1 * level * level
-        total = (one - phi * phi) * head * head + sq_later - phi * 2 * products + phi * phi * sq_earlier
-        likelihood = -s["n"] / 2 * F.log(F.greatest(total, F.lit(1e-300)) / s["n"]) + F.log(one - phi * phi) / 2
-        return F.struct(
-            F.round(likelihood, 9).alias("likelihood"),
-            (-F.abs(phi)).alias("small"),
-            (-phi).alias("low"),
-            (s["mean"] + level + phi * (s["last"] - level)).alias("forecast"),
+
+        def scored(mu: Column) -> Column:
+            head = s["first"] - mu
+            later = s["squares"] - s["first"] * s["first"] + mu * 2 * s["first"] + n1 * mu * mu
+            earlier = s["squares"] - s["last"] * s["last"] + mu * 2 * s["last"] + n1 * mu * mu
+            products = s["cross"] + mu * (s["first"] + s["last"]) + n1 * mu * mu
+            total = spread * head * head + later - phi * 2 * products + phi * phi * earlier
+            likelihood = -s["n"] / 2 * F.log(F.greatest(total, F.lit(1e-300)) / s["n"]) + F.log(spread) / 2
+            return F.struct(
+                F.round(likelihood, 9).alias("likelihood"),
+                (-F.abs(phi)).alias("small"),
+                (-phi).alias("low"),
+                (s["mean"] + mu + phi * (s["last"] - mu)).alias("forecast"),
+            )
+
+        return _bind(level, scored)
+
+    grid = F.array(*[F.lit(k / 100.0) for k in range(-99, 100)])
+
+    def best(s: Column) -> Column:
+        return F.when(s["squares"] < 1e-9, s["mean"]).otherwise(
+            F.array_max(F.transform(grid, lambda phi: fitted(s, phi)))["forecast"]
         )
 
-    grid = F.transform(F.sequence(F.lit(-99), F.lit(99)), lambda k: k / F.lit(100.0))
-    best = F.array_max(
-        F.flatten(F.transform(F.array(stats), lambda s: F.transform(grid, lambda phi: fitted(s, phi))))
-    )
-    return F.when(_sum(F.transform(v, lambda y: (y - mean) * (y - mean))) < 1e-9, mean).otherwise(best["forecast"])
+    return _bind(_bind(_centred(as_col(values)), stats), best)
 
 
 def sample_std(values: Col) -> Column:
-    v = as_col(values)
-    n = F.size(v)
-    mean = F.try_divide(_sum(v), n)
-    return F.sqrt(F.try_divide(_sum(F.transform(v, lambda y: (y - mean) * (y - mean))), n - 1))
+    return _bind(_centred(as_col(values)), lambda s: F.sqrt(F.try_divide(_squares(s["z"]), s["n"] - 1)))
 
 
 def candidate_forecasts(series: DataFrame, values: str = "values") -> DataFrame:
@@ -154,18 +180,24 @@ def _origins(series: DataFrame, params: Params) -> DataFrame:
     count = F.when(held_out >= 2, held_out).otherwise(F.lit(0))
     return (
         series.withColumn("origin", F.explode(F.sequence(F.lit(0), count)))
-        .withColumn("actual", F.when(F.col("origin") > 0, F.get("values", n - F.col("origin"))))
+        .withColumn("truth", F.when(F.col("origin") > 0, F.get("values", n - F.col("origin"))))
         .withColumn("history", F.slice("values", F.lit(1), n - F.col("origin")))
     )
 
 
 def select_methods(series: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """user, category, method, cv_error and the chosen method's forecast."""
+    """Adds method, cv_error and the chosen method's prediction to every series.
+
+    Origins are rows, so the errors are plain averages over them; all columns of
+    the series are carried through the grouping, which needs no second scan.
+    """
+    carried = [c for c in series.columns if c not in SERIES]
     scored = candidate_forecasts(_origins(series, params), "history")
-    errors = {m: F.avg(F.abs(F.col(m) - F.col("actual"))) for m in METHODS}
+    errors = {m: F.avg(F.abs(F.col(m) - F.col("truth"))) for m in METHODS}
     finals = {m: F.max(F.when(F.col("origin") == 0, F.col(m))) for m in METHODS}
     per_series = scored.groupBy(*SERIES).agg(
         F.max("origin").alias("origins"),
+        *[F.any_value(c).alias(c) for c in carried],
         *[F.round(errors[m], 6).alias(f"error_{m}") for m in METHODS],
         *[finals[m].alias(f"final_{m}") for m in METHODS],
     )
@@ -191,6 +223,7 @@ def select_methods(series: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         .withColumn("method", chosen)
         .select(
             *SERIES,
+            *carried,
             "method",
             F.when(F.col("origins") > 0, pick("error")).alias("cv_error"),
             pick("final").alias("prediction"),
@@ -199,20 +232,25 @@ def select_methods(series: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 def forecast_series(series: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Forecast every series given; dormant ones must be dropped before."""
+    """Forecast every (non-empty) series given; dormant ones must be dropped before.
+
+    Short series carry their mean, unchanging ones their last amount, and the
+    others the method that forecast the held-out months best.
+    """
     n = F.size("values")
-    chosen = select_methods(series.filter((n >= params.min_months) & (sample_std("values") >= 1e-9)), params)
-    fixed = F.when(n == 0, 0.0).when(n < params.min_months, forecast_mean3("values")).otherwise(
-        F.element_at("values", -1)
-    )
-    label = F.when(n == 0, "none").when(n < params.min_months, "mean").otherwise("constant")
-    return series.join(chosen, SERIES, "left").select(
-        *SERIES,
-        "months",
-        "values",
-        F.greatest(F.lit(0.0), F.coalesce("prediction", fixed)).alias("prediction"),
-        F.coalesce("method", label).alias("method"),
-        "cv_error",
+    constant = (n >= params.min_months) & (F.col("deviation") < 1e-9)
+    return (
+        select_methods(series.withColumn("deviation", sample_std("values")), params)
+        .withColumns(
+            {
+                "prediction": F.when(constant, F.greatest(F.lit(0.0), F.element_at("values", -1))).otherwise(
+                    F.col("prediction")
+                ),
+                "cv_error": F.when(~constant, F.col("cv_error")),
+                "method": F.when(constant, "constant").otherwise(F.col("method")),
+            }
+        )
+        .drop("deviation")
     )
 
 
@@ -243,22 +281,16 @@ def forecast(spent: DataFrame, as_of: dt.date, params: Params = DEFAULTS) -> Dat
 def backtest_lines(spent: DataFrame, as_of: dt.date, params: Params = DEFAULTS) -> DataFrame:
     """Hold-out forecast of the last completed month, per active category."""
     n = F.size("values")
-    whole = month_series(spent, as_of).filter(n >= 3)
-    train = whole.select(
+    train = month_series(spent, as_of).filter(n >= 3).select(
         *SERIES,
-        F.slice("months", F.lit(1), n - 1).alias("months"),
         F.slice("values", F.lit(1), n - 1).alias("values"),
-    )
-    held_out = whole.select(
-        *SERIES,
         F.element_at("values", -1).alias("actual"),
         F.date_format(F.element_at("months", -1), "yyyy-MM").alias("test_month"),
         n.alias("months_used"),
     )
     return (
         forecast_series(active(train), params)
-        .drop("months", "values")
-        .join(held_out, SERIES)
+        .drop("values")
         .withColumn("absolute_error", F.abs(F.col("prediction") - F.col("actual")))
     )
 

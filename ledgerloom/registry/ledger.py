@@ -656,11 +656,17 @@ def _halves(spark, sf):
     return rows.filter(F.col("txn_date") < dt.date(2000, 6, 1)), rows.filter(F.col("txn_date") >= dt.date(2000, 1, 1))
 
 
+_NEW = f"""OLD AS (SELECT user_id, import_hash FROM L WHERE import_hash IS NOT NULL AND txn_date < {_CUT_OLD}),
+BATCH AS (SELECT * FROM L WHERE import_hash IS NOT NULL AND txn_date >= {_CUT_NEW}),
+NEW AS (SELECT DISTINCT user_id, txn_key, import_hash FROM BATCH WHERE (user_id, import_hash) NOT IN
+  (SELECT (user_id, import_hash) FROM OLD))"""
+
+
 @register(
     "snk_ledger_append",
-    f"""WITH {L} SELECT user_id, count(*) AS rows, count(DISTINCT import_hash) FILTER (txn_date >= {_CUT_OLD}) AS imported,
-    count(*) - count(DISTINCT import_hash) FILTER (txn_date >= {_CUT_OLD}) AS duplicates
-    FROM L WHERE import_hash IS NOT NULL AND txn_date >= {_CUT_NEW} GROUP BY ALL""",
+    f"""WITH {L}, {_NEW} SELECT b.user_id, b.n AS rows, coalesce(a.n, 0) AS imported, b.n - coalesce(a.n, 0) AS duplicates
+    FROM (SELECT user_id, count(*) AS n FROM BATCH GROUP BY ALL) b
+    LEFT JOIN (SELECT user_id, count(*) AS n FROM NEW GROUP BY ALL) a USING (user_id)""",
 )
 def _(spark, sf):
     ledger, batch = _halves(spark, sf)
@@ -669,7 +675,7 @@ def _(spark, sf):
 
 @register(
     "jn_dedup_anti",
-    f"WITH {L} SELECT DISTINCT {KEY} FROM L WHERE import_hash IS NOT NULL AND txn_date >= {_CUT_OLD}",
+    f"WITH {L}, {_NEW} SELECT {KEY} FROM NEW",
 )
 def _(spark, sf):
     ledger, batch = _halves(spark, sf)
@@ -678,8 +684,8 @@ def _(spark, sf):
 
 @register(
     "snk_atomic_import",
-    f"""WITH {L} SELECT user_id, count(*) FILTER (txn_date < {_CUT_OLD})
-    + count(DISTINCT import_hash) FILTER (txn_date >= {_CUT_OLD}) AS n FROM L WHERE import_hash IS NOT NULL GROUP BY ALL""",
+    f"""WITH {L}, {_NEW} SELECT user_id, count(*) AS n FROM
+    (SELECT user_id FROM OLD UNION ALL SELECT user_id FROM NEW) GROUP BY ALL""",
 )
 def _(spark, sf):
     """Write the ledger, append the overlapping batch twice, and read it back."""
