@@ -147,7 +147,7 @@ def forecast_ar1(values: Col) -> Column:
 
         return _bind(level, scored)
 
-    grid = F.array(*[F.lit(k / 100.0) for k in range(-99, 100)])
+    grid = F.expr("transform(sequence(-99, 99), k -> k / 100D)")
 
     def best(s: Column) -> Column:
         return F.when(s["squares"] < 1e-9, s["mean"]).otherwise(
