@@ -173,6 +173,13 @@ def candidate_forecasts(series: DataFrame, values: str = "values") -> DataFrame:
     return series.withColumns({name: F.greatest(F.lit(0.0), made[name]) for name in METHODS})
 
 
+def spread(series: DataFrame) -> DataFrame:
+    """Series over all tasks: they are few bytes but much arithmetic, so the count is
+    given and not left to size-based coalescing. The later grouping reuses it."""
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(tasks, *SERIES)
+
+
 def _origins(series: DataFrame, params: Params) -> DataFrame:
     """One row per hold-out month; origin 0 is the whole series, the forecast itself."""
     n = F.size("values")
@@ -192,7 +199,7 @@ def select_methods(series: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     the series are carried through the grouping, which needs no second scan.
     """
     carried = [c for c in series.columns if c not in SERIES]
-    scored = candidate_forecasts(_origins(series, params), "history")
+    scored = candidate_forecasts(_origins(spread(series), params), "history")
     errors = {m: F.avg(F.abs(F.col(m) - F.col("truth"))) for m in METHODS}
     finals = {m: F.max(F.when(F.col("origin") == 0, F.col(m))) for m in METHODS}
     per_series = scored.groupBy(*SERIES).agg(

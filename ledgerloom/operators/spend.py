@@ -160,14 +160,15 @@ def month_series(spent: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     of the accepted history. The bounds run over all categories of the account;
     the month in progress and later ones are cut after the grid is made.
     """
-    bounds = spent.groupBy("user_id").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
+    account = W.partitionBy("user_id")  # monthly sums: at most months x categories rows
     months = F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))
     if as_of is not None:
         months = F.filter(months, lambda m: m < F.trunc(F.lit(as_of), "MM"))
     return (
-        spent.groupBy("user_id", "category_name")
+        spent.withColumn("first_month", F.min("month").over(account))
+        .withColumn("last_month", F.max("month").over(account))
+        .groupBy("user_id", "category_name", "first_month", "last_month")
         .agg(F.map_from_entries(F.collect_list(F.struct("month", "amount"))).alias("by_month"))
-        .join(bounds, "user_id")
         .withColumn("months", months)
         .select(
             "user_id",
