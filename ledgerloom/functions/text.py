@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Col = Column | str
@@ -27,9 +27,21 @@ def merchant_key(c: Col, words: int = 3) -> Column:
     return F.array_join(F.slice(tokens, 1, words), " ")
 
 
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u3000"
+
+
 def strip(c: Col) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_col(c), F.lit(WHITESPACE))
+
+
+def evaluated_once(df: DataFrame, keep: Sequence[str], answer: Column) -> DataFrame:
+    """The kept columns and the fields of a struct, generated once per row.
+
+    A later filter on a generated column is not pushed below the generator, so a
+    long expression is never copied into the filter and evaluated again.
+    """
+    return df.select(*keep, F.inline(F.array(answer)))
 
 
 def collapse(c: Col) -> Column:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Col, as_col, normalise
+from ..functions.text import Col, as_col, evaluated_once, normalise
 from ..params import CASH_WITHDRAWAL, DEFAULTS, UNCATEGORISED, Params
 
 # Cash taken out, matched on the raw text before anything else.
@@ -83,15 +83,6 @@ def rule_category(c: Col, text: Col | None = None) -> Column:
     return out
 
 
-def evaluated_once(df: DataFrame, keep: list[str], answer: Column) -> DataFrame:
-    """The kept columns and the fields of a struct, generated once per row.
-
-    A later filter on a generated column is not pushed below the generator, so
-    the rule list is never copied into the filter and evaluated again.
-    """
-    return df.select(*keep, F.inline(F.array(answer)))
-
-
 def with_rule_category(df: DataFrame, name: str = "category_name") -> DataFrame:
     return evaluated_once(df, df.columns, F.struct(rule_category("description").alias(name)))
 
