@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..params import DEFAULTS
+from ..schema import rnd
+
 Col = Column | str
 
 
@@ -101,9 +104,8 @@ def currency(c: Col) -> Column:
 
 
 def fx_tolerance(amount: Col, converted: Col) -> Column:
-    return F.when(as_col(converted), F.round(F.abs(as_col(amount).cast("double")) * 0.05, 2)).otherwise(
-        F.lit(0.01)
-    )
+    share = F.abs(as_col(amount).cast("double")) * DEFAULTS.fx_tolerance
+    return F.when(as_col(converted), rnd(share)).otherwise(F.lit(DEFAULTS.exact_tolerance))
 
 
 # --- Messages ---------------------------------------------------------------
@@ -144,9 +146,11 @@ def _longest_first(words: Sequence[str]) -> list[str]:
 
 def receipt_keywords(c: Col) -> Column:
     """Every receipt merchant named in the text, longest keyword first."""
-    text = normalise(c)
-    known = F.array(*[F.lit(w) for w in _longest_first(RECEIPT_MERCHANTS)])
-    return F.filter(known, lambda w: F.contains(text, w))
+    words = ", ".join(f"'{w}'" for w in _longest_first(RECEIPT_MERCHANTS))
+    known = F.expr(f"array({words})")
+    # The text is bound as a one-element array, so it is normalised once per row.
+    found = F.transform(F.array(normalise(c)), lambda text: F.filter(known, lambda w: F.contains(text, w)))
+    return F.element_at(found, 1)
 
 
 def receipt_keyword(c: Col) -> Column:
