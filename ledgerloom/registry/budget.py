@@ -324,9 +324,9 @@ def _(spark, sf):
 
 
 def stopwords():
-    from ..plans.questions import STOPWORDS
+    from ..plans import questions
 
-    return list(STOPWORDS)
+    return questions.stopwords()
 
 
 @register(
