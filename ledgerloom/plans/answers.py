@@ -35,6 +35,7 @@ class Desk:
     goals: DataFrame
     learning: DataFrame
     as_of: dt.date
+    charges: DataFrame | None = None
 
 
 def _shape(df: DataFrame, value: Column, other: Column | None = None, n: Column | None = None, detail: Column | None = None) -> DataFrame:
@@ -223,7 +224,7 @@ def _goals(q: DataFrame, d: Desk) -> DataFrame:
 
 
 def _subscriptions(q: DataFrame, d: Desk) -> DataFrame:
-    got = q.join(recurring.recurring_summary(recurring.recurring(d.ledger)), "user_id", "left")
+    got = q.join(recurring.recurring_summary(d.charges), "user_id", "left")
     return _shape(got, F.coalesce("monthly_total", F.lit(0.0)), F.coalesce("annual_total", F.lit(0.0)), F.coalesce("count", F.lit(0)))
 
 
@@ -289,7 +290,7 @@ def _whatif(q: DataFrame, d: Desk) -> DataFrame:
     asks = q.withColumn("ask_id", F.struct("conv_id", "turn"))
     said = bd.whatif(
         asks.select("ask_id", "user_id", "text", "amount", "categories"),
-        recurring.recurring(d.ledger), d.budget, d.goals, stopwords(),
+        d.charges, d.budget, d.goals, stopwords(),
     )
     got = asks.join(said.select("ask_id", "source", "monthly_saving", "annual_saving", "months_after"), "ask_id")
     return _shape(got, F.col("monthly_saving"), F.col("annual_saving"), F.col("months_after"), F.col("source"))
@@ -333,6 +334,7 @@ def answer(questions: DataFrame, desk: Desk) -> DataFrame:
         checkpointed(desk.goals),
         checkpointed(desk.learning),
         desk.as_of,
+        checkpointed(recurring.recurring(desk.ledger)),
     )
     known = F.coalesce(F.col("intent").isin(*HANDLERS), F.lit(False))
     out = _shape(q.filter(~known), F.lit(None), detail=F.when(F.col("intent") == "help", "help").otherwise("unknown"))

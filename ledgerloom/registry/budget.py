@@ -56,9 +56,10 @@ def _(spark, sf):
     )
 
 
-def parts(spark, sf):
+def parts(spark, sf, ledger=None):
     """Budget of the current month with the frames it was made from."""
-    ledger, category, profile = fx.ledger(spark, sf), fx.category_dim(spark), fx.profile(spark, sf)
+    ledger = fx.ledger(spark, sf) if ledger is None else ledger
+    category, profile = fx.category_dim(spark), fx.profile(spark, sf)
     spent = spend.monthly_spend(ledger, category)
     goals = bd.goal_waterfall(fx.goals(spark, sf), pool(ledger), AS_OF)
     forecasts = fc.forecast(spent, AS_OF)

@@ -10,13 +10,14 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.dates import date_reject
 from ..operators.spend import is_spend
 from ..params import DEFAULTS, Params
 from ..schema import rnd
 from ..sources import sinks
-from ..sources import statements as st
 
 
 def ingest(
@@ -29,7 +30,7 @@ def ingest(
     table itself. Each batch replaces its own directory, so a replayed batch
     writes the same files again.
     """
-    out_of_range = st.date_reject("txn_date", as_of, params)
+    out_of_range = date_reject("txn_date", as_of, params)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -42,9 +43,7 @@ def ingest(
     return _start(rows, write, "append", checkpoint)
 
 
-def _with_batch(df: DataFrame):
-    from pyspark.sql import types as T
-
+def _with_batch(df: DataFrame) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
 
 
@@ -71,6 +70,7 @@ def daily_totals(rows: DataFrame, lateness: str = "35 days") -> DataFrame:
     """
     return (
         rows.filter(is_spend() & F.col("category_name").isNotNull())
+        .withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
         .groupBy("user_id", F.window("ts", "1 day").alias("day"), "category_name")
         .agg(F.sum("amount").alias("amount"))
