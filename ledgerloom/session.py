@@ -20,6 +20,7 @@ def local_session(cpus: str | int = "*", name: str = "ledgerloom") -> SparkSessi
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEDGERLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         # Call-site capture costs milliseconds per column expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
