@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input is one small file; a large input has
+    more splits than that and is read as it is, without a shuffle."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def by_number(c: Column, values: dict, default=None) -> Column:
     out = F.lit(default)
     for key, value in values.items():
@@ -31,7 +38,7 @@ def ledger(spark: SparkSession, sf: str, flat: bool = False, named: bool = False
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", F.col("c_nationkey").cast("bigint").alias("user_id"))
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_retailprice")
-    rows = table(spark, sf, "lineitem").join(nation, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    rows = spread(table(spark, sf, "lineitem")).join(nation, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
     number = F.col("l_linenumber")
@@ -211,7 +218,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.array(*map(F.lit, ("date", "description", "amount"))))
     )
     part = table(spark, sf, "part").select("p_partkey", "p_name")
-    return table(spark, sf, "lineitem").join(part, pk == F.col("p_partkey")).select(
+    return spread(table(spark, sf, "lineitem")).join(part, pk == F.col("p_partkey")).select(
         (F.col("l_orderkey") % 25).alias("user_id"),
         F.concat(F.lit("stmt-"), F.col("l_orderkey").cast("string")).alias("file"),
         (F.col("l_linenumber") * F.lit(10_000_000_000) + pk * 1000 + supp % 1000).alias("pos"),
@@ -243,7 +250,7 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
     )
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
-    return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    return spread(table(spark, sf, "lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", *keys).alias("txn_key"),
         F.concat_ws(
             "\n",
@@ -264,7 +271,7 @@ def receipt_items(spark: SparkSession, sf: str) -> DataFrame:
     keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     itemised = F.col("l_linestatus") == "F"
     return (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .filter(itemised)
         .select(
