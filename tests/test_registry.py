@@ -8,6 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from check import compare
+from ledgerloom import registry
+
+registry.load()
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_agrees_with_duckdb(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
