@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import language, minhash, mixing, pieces, quality
 from ledgerloom.llm.common import scratch_path, table
-from ledgerloom.llm.minhash import drop_near_duplicates
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones of ``sf_dir``, scores as good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an identified language."""
+    return language.keep_identified(docs, table(spark, sf_dir, "documents").select("text", "lang"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near duplicates, the one of the smallest id."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources to target weights takes them."""
+    return mixing.mixed(docs)
+
+
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, decoded again as a test."""
+    return pieces.pieces(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("mixing_sources", mixing_sources),
+    ("sentence_pieces", sentence_pieces),
+]
 
 #: Neither trained models nor tokenizers can be written in SQL.
 ORACLE_SQL = None

@@ -266,3 +266,18 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns, whose document stands for its group."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT w.doc_id, count(g) AS n FROM (SELECT DISTINCT doc_id FROM w) w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id WHERE r.c < e.v)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept
+FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n
+"""
