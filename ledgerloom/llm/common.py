@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.session import checkpointed, scratch_path, shared_folder
 
-__all__ = ["bounded_batches", "checkpointed", "ordered", "scratch_path", "shared_folder", "stored", "table"]
+__all__ = ["bounded_batches", "checkpointed", "fresh", "ordered", "scratch_path", "shared_folder", "stored", "table"]
 
 #: Rows of an Arrow batch. Texts are long; the default of 10,000 rows holds too many of them.
 BATCH_ROWS = 512
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the rows handed to a Python worker at once small (a session setting)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

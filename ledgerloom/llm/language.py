@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, fresh, stored
 from .subwords import families, slice_sums
 from .words import text_blocks
 
@@ -204,5 +204,6 @@ def keep_identified(docs: DataFrame, labelled: DataFrame, floor: float = 0.5) ->
     Rejects are matched by doc_id; a row without one can't be and stays.
     """
     found = identify(document_rows(docs), labelled)
-    gone = found.where((F.col("lang") == "und") | (F.col("probability") < floor)).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "language-rejects"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.where((F.col("lang") == "und") | (F.col("probability") < floor)).select(F.col("id").alias(name)).distinct()
+    return docs.join(stored(gone, "language-rejects"), F.col("doc_id") == F.col(name), "left_anti")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, fresh
 from .subwords import families, slice_sums
 from .words import text_blocks
 
@@ -153,5 +153,5 @@ def quality(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None)
 
 def keep_good(docs: DataFrame, labels: DataFrame, known: DataFrame, floor: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``floor``."""
-    table = train(labelled_rows(known, labels))
-    return score(docs, table, "_quality").where(F.col("_quality") >= floor).drop("_quality")
+    table, name = train(labelled_rows(known, labels)), fresh(docs, "_quality")
+    return score(docs, table, name).where(F.col(name) >= floor).drop(name)
