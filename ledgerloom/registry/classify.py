@@ -189,7 +189,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = _docs(spark, sf)
-    said = naive_bayes.fit(docs).predict(docs)
+    said = naive_bayes.fit(docs).predict(docs.select("doc_id", "text").distinct())
     return said.select("doc_id", "predicted_category", rnd("predicted_probability", 4).alias("probability"))
 
 

@@ -13,12 +13,15 @@ from .sqltext import E, month, r
 
 
 def _stream(spark, sf):
-    """The events as ledger rows, written in slices of time and read as a stream."""
+    """The events as ledger rows, written in slices and read as a stream.
+
+    Each slice holds days of the whole time range, so most rows come later than newer ones.
+    """
     path = scratch_path(spark, "slices")
     rows = fx.events_ledger(spark, sf).join(
         fx.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("txn_key"), "ts"), "txn_key"
     )
-    rows.repartitionByRange(4, "ts").write.parquet(path)
+    rows.repartition(4, F.dayofyear("ts")).write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -62,44 +62,42 @@ def _start(stream: DataFrame, write, mode: str, checkpoint: str) -> StreamingQue
     )
 
 
-def daily_totals(rows: DataFrame, lateness: str = "35 days") -> DataFrame:
-    """Spending per (account, day, category) of a stream with event time ``ts``.
-
-    State is kept per day window and goes when the watermark passes; months
-    are rolled up from the days afterwards, as they have no fixed length.
-    """
+def daily_totals(rows: DataFrame) -> DataFrame:
+    """Spending per (account, month, day, category) of ledger rows."""
     return (
         rows.filter(is_spend() & F.col("category_name").isNotNull())
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy("user_id", F.window("ts", "1 day").alias("day"), "category_name")
-        .agg(F.sum("amount").alias("amount"))
-        .select("user_id", F.to_date("day.start").alias("day"), "category_name", "amount")
+        .groupBy("user_id", F.date_format("txn_date", "yyyy-MM").alias("month"), F.col("txn_date").alias("day"), "category_name")
+        .agg(F.sum("amount").cast("decimal(28,2)").alias("amount"))
     )
 
 
+def _add_daily(batch: DataFrame, batch_id: int, path: str) -> None:
+    """Store what a batch adds to its days. A replayed batch writes its own directory again.
+
+    Sums of a day are added up by the reader, so a row counts however late it comes, and no state
+    grows with the history.
+    """
+    daily_totals(batch).write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch={batch_id}")
+
+
 def write_daily(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Updated day totals, one directory per batch; readers take the newest per key."""
+    """Day sums of each batch in a directory of its own, by month."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _add_daily(batch, batch_id, path)
 
-    return _start(daily_totals(rows), write, "update", checkpoint)
+    return _start(rows, write, "append", checkpoint)
 
 
-DAILY = "user_id BIGINT, day DATE, category_name STRING, amount DECIMAL(28,2), batch BIGINT"
+DAILY = "user_id BIGINT, day DATE, category_name STRING, amount DECIMAL(28,2), batch BIGINT, month STRING"
 
 
-def month_totals(spark: SparkSession, path: str) -> DataFrame:
-    """user, month, category, spent from the written day totals."""
-    newest = (
-        spark.read.schema(DAILY).parquet(path)
-        .groupBy("user_id", "day", "category_name")
-        .agg(F.max_by("amount", "batch").alias("amount"))
-    )
-    return newest.groupBy("user_id", F.date_format("day", "yyyy-MM").alias("month"), "category_name").agg(
-        rnd(F.sum("amount")).alias("spent")
-    )
+def month_totals(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    """user, month, category, spent from the written day sums; of ``months`` only, if given."""
+    daily = spark.read.schema(DAILY).parquet(path)
+    if months is not None:
+        daily = daily.filter(F.col("month").isin(months))
+    return daily.groupBy("user_id", "month", "category_name").agg(rnd(F.sum("amount")).alias("spent"))
 
 
 def write_alerts(
@@ -109,17 +107,19 @@ def write_alerts(
 
     After every batch the touched months are compared with the budget lines
     (user_id, month, category_name, recommended); a level raised by an earlier
-    batch is not raised again.
+    batch is not raised again. The batch itself runs once: what it touched is
+    read back from the directory it wrote, and only the files of the touched
+    months (at most a row for each month of the accepted history) are read.
     """
     keys = ["user_id", "month", "category_name"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{daily_path}/batch={batch_id}")
-        touched = batch.select(
-            "user_id", F.date_format("day", "yyyy-MM").alias("month"), "category_name"
-        ).distinct()
-        spent = month_totals(spark, daily_path).join(touched, keys, "left_semi")
+        _add_daily(batch, batch_id, daily_path)
+        mine = spark.read.schema(DAILY).parquet(daily_path).filter(F.col("batch") == batch_id)
+        touched = mine.select(*keys).distinct()
+        months = [r["month"] for r in mine.select("month").distinct().collect()]
+        spent = month_totals(spark, daily_path, months).join(touched, keys, "left_semi")
         used = rnd(F.col("spent") / F.col("recommended") * 100, 1)
         levels = F.array(
             F.when(F.col("used") >= params.nudge_pct, F.lit("warning")),
@@ -130,13 +130,13 @@ def write_alerts(
             .withColumn("used", used)
             .select(*keys, F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("level"))
         )
-        raised = spark.read.schema(ALERT).parquet(path).filter(F.col("batch") < batch_id)
+        raised = spark.read.schema(ALERT).parquet(path).filter((F.col("batch") < batch_id) & F.col("month").isin(months))
         new = reached.join(raised.drop("batch"), [*keys, "level"], "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     empty = rows.sparkSession.createDataFrame([], ALERT).drop("batch")
     empty.write.mode("ignore").parquet(f"{path}/batch=-1")
-    return _start(daily_totals(rows), write, "update", checkpoint)
+    return _start(rows, write, "append", checkpoint)
 
 
 ALERT = "user_id BIGINT, month STRING, category_name STRING, level STRING, batch BIGINT"
