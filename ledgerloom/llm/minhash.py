@@ -7,7 +7,8 @@ rounds test the pairs of a bucket without listing them all:
 
 1. a star: each bucket's centre (the member whose buckets hold most documents) against the others;
 2. only buckets whose members still lie in several components: pairs across components, in cells
-   of at most ``CELL`` by ``CELL`` members, so that a large bucket is spread over many groups.
+   of about ``CELL`` by ``CELL`` members, so that a large bucket is spread over many groups. A cell
+   gives one link for each two components that it joins, not one for each pair.
 
 A pair is first compared by one byte of each minimum, then confirmed on the full sets. The
 components of the confirmed links come from alternating large-star and small-star steps.
@@ -24,14 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, checkpointed, stored
+from .common import bounded_batches, checkpointed, fresh, stored
 from .components import components
 from .words import SPACE, byte_codes, chain_hashes, mix, span_hashes, spans, text_blocks
 
 BANDS, ROWS, WIDTH = 32, 6, 5
 MINIMA = BANDS * ROWS
 #: Members of one side of a cell.
-CELL = 256
+CELL = 512
 #: Shingles hashed at once, so that a long text needs no more memory than a short one.
 _STEP = 2048
 
@@ -126,59 +127,93 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity; the places of one in the other give the intersection."""
+    if not len(x) or not len(y):
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (2, 3))
-                # Both are sorted: the positions of one in the other give the intersection.
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"])
-            yield kept.filter(pa.array(keep, pa.bool_()))
+            sets = ((np.frombuffer(x, np.uint64) for x in pair) for pair in zip(*(batch.column(c).to_pylist() for c in (2, 3))))
+            keep = pa.array([similar(x, y, percent) for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(keep)
 
     return run
 
 
-def _cells(percent: int):
-    """Pairs across components within a cell; rows come sorted by cell."""
-    floor = least_bytes(percent)
+def _groups(batches, keys: int):
+    """Rows that follow each other with the same first ``keys`` columns, as (key, columns)."""
+    at, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != at:
+                if held:
+                    yield at, list(zip(*held))
+                at, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield at, list(zip(*held))
+
+
+def _likely(cell, percent: int, same):
+    """Places (k, others) of members of a cell that may be linked: rows are those of ``_CELL``.
+
+    A pair counts in the first band that it shares only. ``same`` tells of the places of a member
+    and of others whether they are known to lie in one component.
+    """
+    ids, _, n, low8, bands, band, side = cell[:7]
+    ids, n, bands, side = (np.array(c, np.int64) for c in (ids, n, bands, side))
+    low8 = np.frombuffer(b"".join(low8), np.uint8).reshape(-1, MINIMA)
+    floor, band = least_bytes(percent), band[0]
+    for k in np.flatnonzero(side != 1):
+        # Side 0 meets side 1; within one block (side 2) each pair comes once.
+        others = np.flatnonzero(side == 1) if side[k] == 0 else np.flatnonzero((side == 2) & (ids > ids[k]))
+        others = others[100 * np.minimum(n[others], n[k]) >= percent * np.maximum(n[others], n[k])]
+        others = others[~same(k, others)]
+        others = others[~(bands[others, :band] == bands[k, :band]).any(axis=1)]
+        yield k, others[(low8[others] == low8[k]).sum(axis=1) >= floor]
 
-    def pairs(cell):
-        ids, component, n = (np.array([r[k] for r in cell], np.int64) for k in (0, 1, 2))
-        low8 = np.frombuffer(b"".join(r[3] for r in cell), np.uint8).reshape(-1, MINIMA)
-        left = np.array([r[4] != 1 for r in cell])
-        right = np.array([r[4] != 0 for r in cell])
-        for k in np.flatnonzero(left):
-            other = np.flatnonzero(right & (component != component[k]))
-            if left[other].all() and right[k]:  # one block against itself
-                other = other[ids[other] > ids[k]]
-            other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
-            other = other[(low8[other] == low8[k]).sum(axis=1) >= floor]
-            for o in other:
-                yield min(ids[k], ids[o]), max(ids[k], ids[o])
+
+_CELL = ["rep", "component", "n_shingles", "bytes", "bands", "band", "side"]
+
+
+def _involved(percent: int):
+    """The members of each cell that may be linked to a member of another component."""
 
     def run(batches):
-        cell, at, found = [], None, []
+        for key, cell in _groups(batches, 3):
+            component = np.array(cell[1], np.int64)
+            found = np.zeros(len(component), bool)
+            for k, others in _likely(cell, percent, lambda k, o: component[o] == component[k]):
+                if len(others):
+                    found[k] = found[others] = True
+            at = np.flatnonzero(found)
+            columns = [pa.array([x] * len(at), t) for x, t in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+            columns += [pa.array([cell[0][k] for k in at], pa.int64()), pa.array([cell[6][k] for k in at], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "i", "j", "rep", "side"])
+
+    return run
 
-        def out():
-            u = pa.array([int(x[0]) for x in found], pa.int64())
-            v = pa.array([int(x[1]) for x in found], pa.int64())
-            return pa.RecordBatch.from_arrays([u, v], ["u", "v"])
 
-        for batch in batches:
-            for *key, doc, component, n, low8, side in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != at:
-                    found += pairs(cell) if len(cell) > 1 else ()
-                    cell, at = [], key
-                cell.append((doc, component, n, low8, side))
-            if len(found) >= 4096:
-                yield out()
-                found.clear()
-        found += pairs(cell) if len(cell) > 1 else ()
-        yield out()
+def _forest(percent: int):
+    """Links between components of a cell by the full sets; one for each that the cell joins, not each pair."""
+
+    def run(batches):
+        for _, cell in _groups(batches, 3):
+            sets = [np.frombuffer(x, np.uint64) for x in cell[7]]
+            _, group = np.unique(np.array(cell[1], np.int64), return_inverse=True)
+            links = []
+            for k, others in _likely(cell, percent, lambda k, o: group[o] == group[k]):
+                for o in others:
+                    if group[o] != group[k] and similar(sets[k], sets[o], percent):
+                        links.append((cell[0][k], cell[0][o]))
+                        group[group == group[o]] = group[k]
+            columns = [pa.array([f(x) for x in links], pa.int64()) for f in (min, max)]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
 
     return run
 
@@ -200,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = full.join(classes, ["d0", "d1"]).where("doc_id = rep")
     reps = stored(reps.select("rep", "n_shingles", "bands", "bytes").dropDuplicates(["rep"]), "minhash-classes")
 
-    slots = reps.select(F.explode("bands").alias("key"), "rep")
+    slots = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = slots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(slots.join(shared, "key"))
     reach = members.groupBy("rep").agg(F.sum("size").alias("reach"))
@@ -220,38 +255,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among ``pairs`` by the full sets, which are built for the ids in question only."""
-        ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        sets = texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, shingles binary")
-        sets = stored(sets, "minhash-sets")
-        left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
-        right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
-        both = pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
-        return checkpointed(both.mapInArrow(_confirm(percent), "u long, v long"))
-
-    links = confirmed(checkpointed(likely(star)))
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """Sets of the ids in question, built anew from their texts."""
+        chosen = texts.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
+        return stored(chosen.mapInArrow(_sets, "id long, shingles binary"), "minhash-sets")
+
+    near = checkpointed(likely(star))
+    sets = full_sets(near.select(F.col("u").alias("id")).union(near.select("v")))
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("su"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    both = near.join(left, "u").join(right, "v").select("u", "v", "su", "sv")
+    links = checkpointed(both.mapInArrow(_confirm(percent), "u long, v long"))
     joined = checkpointed(components(links))
 
     placed = members.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    open_ = placed.join(split.select("key"), "key").join(sized, "rep")
+    open_ = placed.join(split.select("key"), "key")
     blocks = F.ceil(F.col("size") / CELL).cast("int")
     open_ = open_.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A member meets each block once: as the left side of the cells (b, j >= b), the right of (i < b, b).
-    celled = open_.select(
-        "key", "rep", "component", "n_shingles", "bytes", "b",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"),
-    )
+    # A member is in the cell of its own block, and once with each other block, as the left or the right side.
+    celled = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
     celled = celled.select(
-        "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", "component", "n_shingles", "bytes",
-        F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"),
-    )
+        "key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", "component", "band", side.alias("side")
+    )
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    celled = celled.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    across = celled.mapInArrow(_cells(percent), "u long, v long").distinct().join(star, ["u", "v"], "left_anti")
-    more = confirmed(checkpointed(across))
+    facts = reps.select("rep", "n_shingles", "bytes", "bands")
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("key", "i", "j", *_CELL, *more).repartition(n, "key", "i", "j")
+        return rows.sortWithinPartitions("key", "i", "j")
+
+    involved = dealt(celled.join(facts, "rep")).mapInArrow(_involved(percent), "key long, i int, j int, rep long, side int")
+    involved = checkpointed(involved)
+    sets = full_sets(involved.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    placed = placed.select("key", "rep", "component", "band")
+    ready = involved.join(placed, ["key", "rep"]).join(facts, "rep").join(sets, "rep")
+    more = checkpointed(dealt(ready, "shingles").mapInArrow(_forest(percent), "u long, v long"))
     stars = joined.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     final = components(stars.unionByName(more)).withColumnRenamed("id", "rep")
 
@@ -264,8 +305,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, all columns, whose document stands for its group."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 ORACLE = r"""
