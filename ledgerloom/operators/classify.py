@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,7 +136,8 @@ def features(df: DataFrame) -> DataFrame:
     )
 
 
-MAX_SEED_ROWS = 1000
+#: Copies of the seed that thin accounts are spread over.
+SEED_COPIES = 64
 
 FRAME = ["text", "amount", "day_of_week", "day_of_month", "category_name", "category_source"]
 
@@ -172,13 +172,11 @@ def with_bootstrap(frame: DataFrame, seed: DataFrame, params: Params = DEFAULTS)
         .select("user_id")
     )
     rows = seed.select(*FRAME, F.lit(1).alias("weight"))
-    # The seed is a short curated list: it travels as one literal with the plan.
-    listed = [json.loads(x) for x in rows.toJSON().take(MAX_SEED_ROWS + 1)]
-    if len(listed) > MAX_SEED_ROWS:
-        raise ValueError(f"a seed has at most {MAX_SEED_ROWS} rows")
-    shape = f"ARRAY<{rows.schema.simpleString()}>"
-    extra = thin.select("user_id", F.explode(F.from_json(F.lit(json.dumps(listed)), shape)).alias("r"))
-    return frame.select("user_id", *rows.columns).unionByName(extra.select("user_id", "r.*"))
+    # Every thin account gets every seed row; parts of the accounts meet copies of the seed.
+    part = F.pmod(F.xxhash64("user_id"), F.lit(SEED_COPIES)).alias("part")
+    copies = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SEED_COPIES - 1).cast("long"))))
+    extra = thin.select("user_id", part).join(copies, "part")
+    return frame.select("user_id", *rows.columns).unionByName(extra.select("user_id", *rows.columns))
 
 
 def relabel(ledger: DataFrame, model=None) -> DataFrame:

@@ -137,9 +137,9 @@ def events_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchase events as receipt messages."""
+    """Events as receipt messages."""
     n = F.col("event_id")
-    return table(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
+    return table(spark, sf, "events").select(
         "user_id",
         F.concat(F.lit("<evt-"), n.cast("string"), F.lit("@example.com>")).alias("message_key"),
         F.to_date("ts").alias("sent_on"),
@@ -157,7 +157,7 @@ def bank_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The bank's view of the same purchases, up to four days later."""
     n = F.col("event_id")
     value = F.col("value").cast(MONEY)
-    return table(spark, sf, "events").filter(F.col("event_type") == "purchase").select(
+    return table(spark, sf, "events").select(
         "user_id",
         F.concat(F.lit("bank-"), n.cast("string")).alias("txn_key"),
         F.date_add(F.to_date("ts"), (n % 5).cast("int")).alias("txn_date"),

@@ -101,7 +101,7 @@ M = """M AS (SELECT user_id, '<evt-' || CAST(event_id AS VARCHAR) || '@example.c
     ELSE 'Your free trial' END AS subject,
   CASE WHEN event_id % 7 = 0 THEN 'USD' WHEN event_id % 11 = 0 THEN 'GBP' END AS currency,
   CAST(CASE WHEN event_id % 5 <> 0 THEN value END AS DECIMAL(18,2)) AS amount
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 B = """B AS (SELECT user_id, 'bank-' || CAST(event_id AS VARCHAR) AS txn_key,
   CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) AS txn_date,
@@ -109,7 +109,7 @@ B = """B AS (SELECT user_id, 'bank-' || CAST(event_id AS VARCHAR) AS txn_key,
   CASE event_id % 3 WHEN 0 THEN 'uber' WHEN 1 THEN 'netflix' END AS keyword,
   CAST(CASE WHEN event_id % 7 = 0 THEN CAST(value AS DECIMAL(18,2)) * CAST(25.75 AS DECIMAL(4,2))
     ELSE CAST(value AS DECIMAL(18,2)) END AS DECIMAL(18,2)) AS amount, event_id AS bank_order
-  FROM events WHERE event_type = 'purchase')"""
+  FROM events)"""
 
 _V = "(ceil(l_quantity / 10) * 1000 + 0.5)"
 _PLAIN = f"CAST(CAST({_V} AS DECIMAL(18,2)) AS VARCHAR)"
@@ -190,3 +190,23 @@ _Q = ", ".join("(%d, '%s')" % (i, q.replace("'", "''")) for i, q in enumerate(QU
 Q = f"""QT AS (SELECT * FROM (VALUES {_Q}) AS t(idx, text)),
 Q AS (SELECT conv_id, turn, conv_id % 25 AS user_id, QT.text FROM conversations
   JOIN QT ON QT.idx = (conv_id * 7 + turn * 3) % {len(QUESTIONS)})"""
+
+
+def greedy(bank: str, candidates: str) -> str:
+    """CTEs ending in PICK(user_id, bk, rid): bank rows, in their order, take the best free candidate.
+
+    ``candidates`` names a relation (user_id, bk, ord, rid, pref). The state of an account is the list
+    of what is taken; each step of the recursion is one bank row of every account.
+    """
+    return f"""{bank}BQ AS MATERIALIZED (SELECT user_id, bk, row_number() OVER (PARTITION BY user_id ORDER BY ord, bk) AS bi
+  FROM (SELECT DISTINCT user_id, bk, ord FROM {candidates})),
+CQ AS MATERIALIZED (SELECT BQ.user_id, bi, rid, pref FROM {candidates} c JOIN BQ ON BQ.user_id = c.user_id AND BQ.bk = c.bk),
+NQ AS MATERIALIZED (SELECT user_id, max(bi) AS n FROM BQ GROUP BY ALL),
+GQ AS (SELECT user_id, CAST(0 AS BIGINT) AS bi, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS rid FROM NQ
+  UNION ALL
+  SELECT user_id, bi, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, p FROM (
+    SELECT g.user_id, g.bi + 1 AS bi, any_value(g.taken) AS taken,
+      arg_min(c.rid, c.pref) FILTER (NOT list_contains(g.taken, c.rid)) AS p
+    FROM GQ g JOIN NQ ON NQ.user_id = g.user_id AND g.bi < NQ.n JOIN CQ c ON c.user_id = g.user_id AND c.bi = g.bi + 1
+    GROUP BY g.user_id, g.bi)),
+PICK AS (SELECT BQ.user_id, bk, rid FROM GQ JOIN BQ ON BQ.user_id = GQ.user_id AND BQ.bi = GQ.bi WHERE rid IS NOT NULL)"""

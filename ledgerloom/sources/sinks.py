@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
@@ -20,15 +21,11 @@ HASH_KEY = ["user_id", "import_hash"]
 def first_of_batch(batch: DataFrame, order: str) -> DataFrame:
     """One row per (user, import_hash): the earliest; rows without a hash all stay.
 
-    A partial aggregate rather than a window, so many copies of one row combine
-    before the shuffle.
+    Spark cuts each key to its first row before the shuffle as well, so many copies of one row
+    don't travel.
     """
-    keyed = (
-        batch.filter(F.col("import_hash").isNotNull())
-        .groupBy(*HASH_KEY)
-        .agg(F.min_by(F.struct(*batch.columns), order).alias("row"))
-        .select("row.*")
-    )
+    place = F.row_number().over(W.partitionBy(*HASH_KEY).orderBy(order))
+    keyed = batch.filter(F.col("import_hash").isNotNull()).withColumn("_place", place).filter("_place = 1").drop("_place")
     return keyed.unionByName(batch.filter(F.col("import_hash").isNull()))
 
 
@@ -53,8 +50,10 @@ def append_counts(batch: DataFrame, ledger: DataFrame, order: str = "txn_key") -
 
 
 def write_ledger(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write by month. Rebalancing splits a hot month over several tasks, and the
-    job commit makes the files visible all together or not at all."""
+    """Write by month. Rebalancing splits a hot month over several tasks.
+
+    Files appear one by one while the job commits; ``publish`` is for readers that must not see a part.
+    """
     (
         rows.withColumn("month", month_key("txn_date"))
         .hint("rebalance", "month")
@@ -64,6 +63,47 @@ def write_ledger(rows: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that name the files of a folder, in order; none where it doesn't exist."""
+    fs, where = _files(spark, path)
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _created(spark: SparkSession, path: str) -> bool:
+    fs, where = _files(spark, path)
+    return fs.createNewFile(where)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest published version of a ledger."""
+    return spark.read.parquet(f"{path}/versions/{_numbers(spark, f'{path}/published')[-1]:08d}").drop("month")
+
+
+def publish(ledger: DataFrame, path: str) -> DataFrame:
+    """Write a new version of a ledger aside, then publish it by creating its marker; return it.
+
+    Creating one empty file is a single step: a reader finds the whole version or the one before.
+    A version whose writer failed has no marker and is never read. A writer that another one has
+    overtaken meanwhile fails, as it worked on an old version.
+    """
+    spark = ledger.sparkSession
+    before = _numbers(spark, f"{path}/published")
+    number = max([-1, *_numbers(spark, f"{path}/claimed")]) + 1
+    while not _created(spark, f"{path}/claimed/{number:08d}"):
+        number += 1
+    write_ledger(ledger, f"{path}/versions/{number:08d}", "error")
+    if _numbers(spark, f"{path}/published") != before:
+        raise RuntimeError(f"another version of {path} was published meanwhile")
+    _created(spark, f"{path}/published/{number:08d}")
+    return read_published(spark, path)
+
+
 def append_ledger(spark: SparkSession, path: str, batch: DataFrame, order: str = "txn_key") -> None:
     existing = spark.read.parquet(path)
     write_ledger(new_rows(batch, existing.select(*batch.columns), order), path)

@@ -15,6 +15,7 @@ from ledgerloom.plans import questions as qa
 from ledgerloom.schema import CATEGORY, GOAL, LEDGER, PROFILE, category_dim
 from ledgerloom.sources import sinks
 from ledgerloom.sources import statements as st
+from ledgerloom.streaming import jobs
 
 D = dt.date
 _id = iter(range(1, 10**9))
@@ -505,3 +506,79 @@ def test_added_category_is_unique(spark):
     new = spark.createDataFrame([("  pet care ", "ESSENTIAL"), ("GROCERIES", "ESSENTIAL"), ("x", "OTHER"), ("y" * 41, "ESSENTIAL")], CATEGORY)
     names = [r["category_name"] for r in sinks.add_categories(category_dim(spark), new).collect()]
     assert len(names) == 18 and "Pet Care" in names
+
+
+# --- The import as a whole, and late stream rows ---------------------------------------------------------
+
+
+def _stored(spark, tmp_path, *rows):
+    path = str(tmp_path / "ledger")
+    columns = ["user_id", "txn_key", "txn_date", "description", "amount", "txn_type", "is_salary", "is_subscription", "category_name", "category_source", "category_confidence", "import_hash"]
+    sinks.publish(ledger(spark, *rows).select(*columns), path)
+    return path
+
+
+def test_import_merges_in_statement_order(spark, tmp_path):
+    """Two bank rows compete for one receipt: the earlier file and line takes it, whatever their hashes."""
+    receipt = row("2026-03-05", "mail", 120, hash="email-abc", source="user", category="Transport")
+    path = _stored(spark, tmp_path, receipt)
+    statement = [
+        (1, "f2", 2, "2026-03-05", "Uber trip", "-120.00"),
+        (1, "f1", 9, "2026-03-06", "Uber other", "-120.00"),
+        (1, "f1", 3, "2026-03-07", "Uber first", "-120.00"),
+        (1, "f1", 4, "2026-03-25", "Salary", "3000"),
+        (1, "f1", 5, "bad", "Uber", "-1"),
+    ]
+    rows = _import(spark, statement)
+    no_date = _import(spark, [(1, "f3", 2, "2026-03-05", "x", "-5")]).withColumn("present", F.array(F.lit("description"), F.lit("amount")))
+    report = {r["file"]: r for r in pipeline.import_statements(rows.unionByName(no_date), path, profile(spark, 3000), D(2026, 6, 15)).collect()}
+    counts = lambda f: tuple(report[f][c] for c in ("rows", "rejected", "credits", "imported", "merged", "salaries", "duplicates"))
+    assert counts("f1") == (4, 1, 1, 2, 1, 1, 0) and counts("f2") == (1, 0, 0, 1, 0, 0, 0)
+    assert report["f3"]["file_reason"] == "missing column(s): date" and report["f3"]["rows"] is None
+    after = sinks.read_published(spark, path).collect()
+    (held,) = [r for r in after if r["txn_key"] == receipt[1]]
+    assert (held["description"], held["category_name"], held["category_source"]) == ("Uber first", "Transport", "user")
+    assert len(after) == 4 and [r["description"] for r in after if r["is_salary"]] == ["Salary"]
+    again = pipeline.import_statements(rows, path, profile(spark, 3000), D(2026, 6, 15))
+    assert again.agg(F.sum("imported"), F.sum("merged"), F.sum("duplicates")).first()[:] == (0, 0, 4)
+    assert sinks.read_published(spark, path).count() == 4
+
+
+def test_a_failing_import_leaves_nothing_visible(spark, tmp_path):
+    path = _stored(spark, tmp_path, row("2026-01-01", "old", 1, hash="y"))
+    before = sinks.read_published(spark, path).collect()
+    fails = F.udf(lambda x: 1 // 0, "string")
+    broken = sinks.read_published(spark, path).withColumn("description", fails("description"))
+    with pytest.raises(Exception):
+        sinks.publish(broken.unionByName(sinks.read_published(spark, path)), path)
+    assert sinks.read_published(spark, path).collect() == before
+    sinks.publish(sinks.read_published(spark, path).filter("false"), path)
+    assert sinks.read_published(spark, path).count() == 0
+
+
+def test_late_stream_rows_count(spark, tmp_path):
+    """Rows 60 and 400 days behind the newest are in the totals and raise alerts."""
+    slices = [[("2026-06-01", 10)], [("2026-04-02", 20)], [("2025-04-27", 30)], [("2026-06-01", 5), ("2025-04-27", 70)]]
+    for k, days in enumerate(slices):
+        ledger(spark, *[row(d, "shop", a, category="Shopping") for d, a in days]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = ledger(spark, row("2026-06-01", "shop", 1)).schema
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.write_daily(stream(), str(tmp_path / "daily"), str(tmp_path / "state")).awaitTermination()
+    totals = {r["month"]: r["spent"] for r in jobs.month_totals(spark, str(tmp_path / "daily")).collect()}
+    assert totals == {"2026-06": 15.0, "2026-04": 20.0, "2025-04": 100.0}
+    budget = spark.createDataFrame([(1, "2025-04", "Shopping", 100.0), (1, "2026-06", "Shopping", 90.0)], "user_id BIGINT, month STRING, category_name STRING, recommended DOUBLE")
+    jobs.write_alerts(stream(), budget, str(tmp_path / "d2"), str(tmp_path / "alerts"), str(tmp_path / "s2")).awaitTermination()
+    found = spark.read.schema(jobs.ALERT).parquet(str(tmp_path / "alerts")).collect()
+    assert sorted((r["month"], r["level"]) for r in found) == [("2025-04", "critical"), ("2025-04", "warning")]
+
+
+def test_stop_words_and_category_phrases(spark):
+    assert qa.pattern_words(r"\b(shops?|earn(ed)?)\b|\bpay\s*day\b") == {"shop", "shops", "earn", "earned", "pay", "day"}
+    words = qa.stopwords()
+    assert {"the", "spend", "month", "transactions", "budget"} <= set(words) and not {"shoprite", "blue", "anvil"} & set(words)
+    asks = ["airtime and data", "airtime & data", "my grocery bill", "food in may", "goods", "dining outing", "rent, food", "data2"]
+    rows = spark.createDataFrame([(a,) for a in asks], "words STRING")
+    found = {r["words"]: (r["categories"], r["label"]) for r in qa.with_categories(rows, "words", category_dim(spark)).collect()}
+    assert found["airtime and data"] == found["airtime & data"] == (["Airtime & Data"], "Airtime & Data")
+    assert found["my grocery bill"] == (["Groceries"], "Groceries") and found["food in may"] == (["Groceries", "Dining Out"], "food")
+    assert found["goods"] == ([], None) and found["dining outing"] == ([], None) and found["data2"] == (["Airtime & Data"], "Airtime & Data")
