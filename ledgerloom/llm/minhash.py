@@ -13,8 +13,9 @@ rounds test the pairs of a bucket without listing them all:
 A pair is first compared by one byte of each minimum, then confirmed on the full sets. The
 components of the confirmed links come from alternating large-star and small-star steps.
 
-At a similarity of 0.85 a pair misses all 32 bands of 6 minima with probability 3e-7, and the
-byte comparison loses it with less than 1e-8 (six standard deviations); nothing else is dropped.
+At a similarity of 0.85 a pair misses all 32 bands of 6 minima with probability 3e-7 (at 0.8 with
+6e-5), and the byte comparison loses it with less than 1e-8 (six standard deviations); nothing else
+is dropped.
 """
 
 from __future__ import annotations
