@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ordered, stored
+from .common import fresh, ordered, stored
 
 #: Weights of the sources in turn, and how often a source may be repeated.
 WEIGHTS, PASSES = (5, 2, 1), 3
@@ -24,6 +24,8 @@ WEIGHTS, PASSES = (5, 2, 1), 3
 BLOCK, LEAST_SLOTS = 4096, 1 << 16
 #: An odd number next to 2**31 divided by the golden ratio.
 STEP, SPAN, RUN = 1327217885, 1 << 31, 1 << 16
+#: Documents of a hash range.
+RANGE = 4096
 #: Parts of the point range in which slots meet sources.
 CELL_BITS = 19
 
@@ -86,11 +88,15 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return ranked.select("sid", (F.col("base") + F.col("r") - 1).alias("k"))
 
 
-def streams(sizes: DataFrame) -> DataFrame:
-    """``sizes`` (doc_id, sid, size, ...) with ``start``, the words of the source's stream before the document."""
+def streams(sizes: DataFrame, documents: int) -> DataFrame:
+    """``sizes`` (doc_id, sid, size, ...) with ``start``, the words of the source's stream before the document.
+
+    A source's hash ranges hold about ``RANGE`` of ``documents`` each, up to 2**16 ranges.
+    """
+    bits = min(16, max(0, (documents // RANGE).bit_length()))
     digest = F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string")))
     hashed = sizes.withColumn("_h", digest)
-    hashed = hashed.withColumn("_range", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    hashed = hashed.withColumn("_range", F.shiftright(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"), 16 - bits))
     sums = hashed.groupBy("sid", "_range").agg(F.sum("size").alias("_n"))
     ahead = Window.partitionBy("sid").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("sid", "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
@@ -122,7 +128,7 @@ def mix(
     named = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     empty = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    placed = streams(named.where("size > 0"))
+    placed = streams(named.where("size > 0"), sizes.count())
     last = F.least(F.lit(passes - 1), F.floor((F.col("limit") - 1 - F.col("start")) / F.col("source_size")))
     turns = F.when(F.col("limit") > F.col("start"), F.sequence(F.lit(0).cast("long"), last.cast("long")))
     keys = ["doc_id", "source", "sid", "size", "source_size", "target", "start"]
@@ -144,14 +150,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PAS
     """
     plan = mix(docs, weights, passes).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.max(times).alias("_times"))
+    doc, source, size, most, turn = (fresh(docs, c) for c in ("_id", "_source", "_size", "_times", "_turn"))
+    plan = plan.groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size)).agg(F.max(times).alias(most))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-        & (words(F.col("text").cast("string")) == F.col("_n"))
+        F.col("doc_id").eqNullSafe(F.col(doc))
+        & F.col("source").cast("string").eqNullSafe(F.col(source))
+        & (words(F.col("text").cast("string")) == F.col(size))
     )
-    joined = docs.join(plan, same)
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    turns = F.explode(F.sequence(F.lit(1), F.col(most)))
+    return docs.join(plan, same).select(*columns, turns.alias(turn)).drop(turn)
 
 
 ORACLE = r"""
