@@ -37,7 +37,8 @@ def text_models(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS) ->
     spark = labelled.sparkSession
     bounded_batches(spark)
     rows = labelled.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count()
+    # Stored, so that the planner knows its size (a row for each language) and need not shuffle the texts.
+    sizes = stored(rows.groupBy("lang").count(), "language-sizes")
     draw = F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1 << 20))
     chosen = rows.join(sizes, "lang").where(draw < F.least(F.lit(1.0), sample / F.col("count")) * (1 << 20))
 
