@@ -1,5 +1,6 @@
 """Token files, Huffman codes and pieces: against the library, a plain search, and round trips."""
 
+import functools
 import random
 import zlib
 
@@ -20,12 +21,17 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], COLUMNS)
 
 
-def direct(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenfiles.vocabulary_path())
-    tokenizer.encode_special_tokens = True
-    return tokenizer.encode(text or "", add_special_tokens=False).ids
+    found = Tokenizer.from_file(tokenfiles.vocabulary_path())
+    found.encode_special_tokens = True
+    return found
+
+
+def direct(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_units_give_the_tokenizers_ids():
