@@ -66,7 +66,7 @@ def _table(path: str) -> UnitTable:
                 out[n] = tokenizer.encode(units[n], add_special_tokens=False).ids
         return out
 
-    return UnitTable(encode, 250_000)
+    return UnitTable(encode, 600_000)
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
