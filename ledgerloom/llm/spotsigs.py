@@ -17,9 +17,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stored
+from .components import components
 from .words import byte_codes, mix, span_hashes, spans, text_blocks
 
 CHAIN, LIKE = 3, 0.8
@@ -223,3 +224,96 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                     held = held[-1:]
 
     return with_next(docs).mapInArrow(run, schema)
+
+
+#: Members of one side of a cell of sets that are compared.
+CELL = 512
+
+
+def _joined(like: float):
+    """Links between the sets of a cell, whose rows come sorted; one for each two groups that it joins."""
+
+    def links(cell):
+        group = list(range(len(cell)))
+        sets = [np.array(r[1], np.int64) for r in cell]
+        for a, (x, _, side) in enumerate(cell):
+            for b, (y, _, other) in enumerate(cell):
+                # Side 0 meets side 1; within one block (side 2) each pair comes once.
+                pair = other == 1 if side == 0 else side == 2 and a < b
+                if pair and group[a] != group[b] and likeness(sets[a], sets[b], like):
+                    yield min(x, y), max(x, y)
+                    old = group[b]
+                    group = [group[a] if g == old else g for g in group]
+
+    def run(batches):
+        at, cell, found = None, [], []
+
+        def out():
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+        for batch in batches:
+            for *key, rep, spots, side in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    found += links(cell)
+                    at, cell = key, []
+                cell.append((rep, spots, side))
+            yield out()
+            found = []
+        found += links(cell)
+        yield out()
+
+    return run
+
+
+def near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of their spots of ``like`` or more.
+
+    Returns doc_id, n_spots, component_id (smallest id reachable) and kept. Documents with equal
+    sets form a class. Only classes of the same or neighbouring length partitions are compared, and
+    only if they share a spot among the rarest of each set: so many that sets without a common one
+    there can't be similar. Cells of ``CELL`` by ``CELL`` sets spread a frequent spot over tasks.
+
+    Null texts are empty; texts without spots are linked with nothing; a row with a null doc_id
+    has a null component and is kept.
+    """
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = list(spot_sets(batch.column(1)))
+            columns = [batch.column(0), pa.array([len(s) for s in found], pa.int32())]
+            columns += [pa.array([partition(len(s), like) for s in found], pa.int32())]
+            columns += [pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))]
+            columns += [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_spots", "part", "spots", "digest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
+    sets = stored(rows.mapInArrow(run, "doc_id long, n_spots int, part int, spots array<long>, digest binary"), "spot-sets")
+    full = sets.where("doc_id is not null and n_spots > 0")
+    classes = stored(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "spot-classes")
+    reps = full.join(classes, "digest").where("doc_id = rep").dropDuplicates(["rep"])
+    reps = stored(reps.select("rep", "n_spots", "part", "spots"), "spot-reps")
+
+    spots = reps.select("rep", "n_spots", "part", F.explode("spots").alias("spot"))
+    ranked = spots.join(spots.groupBy("spot").agg(F.count("*").alias("docs")), "spot")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("docs", "spot"))
+    rare = ranked.withColumn("place", place).where(F.col("place") <= F.col("n_spots") - F.ceil(F.col("n_spots") * like - 1e-9) + 1)
+    # The bucket b of a spot holds the partitions b and b + 1, so neighbours meet in one at least.
+    slots = rare.where("docs > 1").select("rep", "spot", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("bucket"))
+    shared = slots.groupBy("bucket", "spot").agg(F.count("*").alias("size")).where("size > 1")
+    members = slots.join(shared, ["bucket", "spot"])
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    members = members.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    cells = members.select("bucket", "spot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "rep", side.alias("side"))
+    cells = cells.join(reps.select("rep", "spots"), "rep").select("bucket", "spot", "i", "j", "rep", "spots", "side")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["bucket", "spot", "i", "j"]
+    links = cells.repartition(n, *keys).sortWithinPartitions(*keys, "rep").mapInArrow(_joined(like), "u long, v long")
+    final = components(links).withColumnRenamed("id", "rep")
+    grouped = sets.select("doc_id", "n_spots", "digest").join(classes, "digest", "left").join(final, "rep", "left")
+    group = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_spots") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")))
+    grouped = grouped.select("doc_id", "n_spots", group.alias("component_id"))
+    return grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

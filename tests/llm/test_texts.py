@@ -177,3 +177,41 @@ def test_quality_without_labels(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.quality(docs, one).count() == 2
     assert quality.quality(frame(spark, []), one).collect() == []
+
+
+@pytest.mark.parametrize("cell", [512, 4])
+def test_near_copies(spark, monkeypatch, cell):
+    monkeypatch.setattr(spotsigs, "CELL", cell)
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "of", "is", "a"]) if rng.random() < 0.3 else f"w{rng.randrange(10**5)}"
+    base = [word() for _ in range(150)]
+    docs = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(k % 12):
+            words[rng.randrange(150)] = word()
+        docs.append((100 + k, " ".join(words)))
+    docs += [(k, " ".join(word() for _ in range(rng.randrange(1, 80)))) for k in range(40)]
+    docs += [(200 + k, " ".join(base)) for k in range(9)] + [(300, None), (301, ""), (302, "the of"), (303, "The, of!"), (100, docs[0][1])]
+    sets = {d: set(s.tolist()) for d, s in zip([d for d, _ in docs], spotsigs.spot_sets(pa.array([t for _, t in docs])))}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, x in enumerate(ids):
+        for y in ids[k + 1 :]:
+            if sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) - 1e-9:
+                a, b = find(x), find(y)
+                parent[max(a, b)] = min(a, b)
+    found = spotsigs.near_copies(frame(spark, docs + [(None, "the dog")])).collect()
+    assert len(found) == len(docs) + 1
+    for r in found:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_spots, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+    assert spotsigs.near_copies(frame(spark, [])).collect() == []
