@@ -33,25 +33,41 @@ def phrases(text: Column, sizes: tuple[int, ...] = (3, 2, 1)) -> Column:
 
 def daily_spending(ledger: DataFrame, wanted: DataFrame) -> DataFrame:
     """user, subject, day, amount, n of the asked subjects: everything, a category,
-    a channel, both, or a merchant phrase. Subjects nobody asked for drop out
-    before the shuffle when the list of asked ones is small enough to broadcast."""
-    rows = ledger.filter(is_debit() & not_withdrawal())
-    name = F.coalesce("category_name", F.lit(""))
-    wallet = channel("import_hash", "description")
-    text = normalise("description")
-    any_ = F.lit(ANY)
-    fixed = F.array(
-        subject_key(any_, any_), subject_key(any_, wallet), subject_key(name, any_), subject_key(name, wallet)
+    a channel, both, or a merchant phrase.
+
+    Spending is summed before it is multiplied by subjects: by day, category,
+    channel and text first. Categories and channels need no text; phrases are
+    taken from the distinct texts of an account and only asked ones go on.
+    """
+    asked = wanted.select("user_id", "subject").distinct()
+    sums = [F.sum("amount").cast("decimal(28,2)").alias("amount"), F.sum("n").alias("n")]
+    rows = ledger.filter(is_debit() & not_withdrawal()).select(
+        "user_id",
+        F.col("txn_date").alias("day"),
+        F.coalesce("category_name", F.lit("")).alias("name"),
+        channel("import_hash", "description").alias("wallet"),
+        normalise("description").alias("text"),
+        "amount",
+        F.lit(1).cast("bigint").alias("n"),
     )
-    spoken = F.flatten(
-        F.transform(F.array(text), lambda t: F.transform(F.array_distinct(phrases(t)), merchant_subject))
+    spent = rows.groupBy("user_id", "day", "name", "wallet", "text").agg(*sums)
+    any_, name, wallet = F.lit(ANY), F.col("name"), F.col("wallet")
+    fixed = F.array(subject_key(any_, any_), subject_key(any_, wallet), subject_key(name, any_), subject_key(name, wallet))
+    by_kind = (
+        spent.groupBy("user_id", "day", "name", "wallet")
+        .agg(*sums)
+        .select("user_id", "day", "amount", "n", F.explode(fixed).alias("subject"))
+        .join(asked, ["user_id", "subject"], "left_semi")
     )
-    return (
-        rows.select("user_id", F.col("txn_date").alias("day"), "amount", F.explode(F.concat(fixed, spoken)).alias("subject"))
-        .join(wanted.select("user_id", "subject").distinct(), ["user_id", "subject"], "left_semi")
-        .groupBy("user_id", "subject", "day")
-        .agg(F.sum("amount").alias("amount"), F.count("*").alias("n"))
+    spoken = F.transform(F.array_distinct(phrases(F.col("text"))), merchant_subject)
+    named = (
+        spent.select("user_id", "text")
+        .distinct()
+        .select("user_id", "text", F.explode(spoken).alias("subject"))
+        .join(asked.filter(F.col("subject").startswith("m=")), ["user_id", "subject"], "left_semi")
     )
+    by_phrase = spent.join(named, ["user_id", "text"]).select("user_id", "day", "amount", "n", "subject")
+    return by_kind.unionByName(by_phrase).groupBy("user_id", "subject", "day").agg(*sums)
 
 
 def daily_income(ledger: DataFrame) -> DataFrame:

@@ -111,6 +111,18 @@ def _(spark, sf):
     )
 
 
+@register(
+    "sc_cycle_week",
+    """WITH D AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(1 + o_custkey % 31 AS INTEGER) AS p FROM orders),
+    X AS (SELECT *, CASE WHEN day(d) >= least(p, day(last_day(d))) THEN date_trunc('month', d) ELSE date_trunc('month', d) - INTERVAL 1 MONTH END AS m FROM D),
+    Y AS (SELECT *, CAST(m AS DATE) + CAST(least(p, day(last_day(m))) - 1 AS INTEGER) AS paid FROM X)
+    SELECT o_orderkey, least(4, datediff('day', paid, d) // 7 + 1) AS week FROM Y""",
+)
+def _(spark, sf):
+    d, p = F.to_date("o_orderdate"), 1 + F.col("o_custkey") % 31
+    return texts(fx.table(spark, sf, "orders").select("o_orderkey", dates.cycle_week(d, p).alias("week")))
+
+
 @register(
     "sc_import_hash",
     f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, sha256(concat_ws('|', CAST(l_suppkey AS VARCHAR), {day('l_shipdate')},

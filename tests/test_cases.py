@@ -582,3 +582,15 @@ def test_stop_words_and_category_phrases(spark):
     assert found["airtime and data"] == found["airtime & data"] == (["Airtime & Data"], "Airtime & Data")
     assert found["my grocery bill"] == (["Groceries"], "Groceries") and found["food in may"] == (["Groceries", "Dining Out"], "food")
     assert found["goods"] == ([], None) and found["dining outing"] == ([], None) and found["data2"] == (["Airtime & Data"], "Airtime & Data")
+
+
+def test_refresh_declines_or_takes_the_seed(spark):
+    """Too few labels: no model, rules only; with a seed: a model; a metric row either way."""
+    few = ledger(spark, row("2026-03-01", "corner shop", 5, category="Groceries", source="user"), row("2026-03-02", "shoprite", 5, category="Uncategorised"))
+    plain = pipeline.refresh(few, category_dim(spark), D(2026, 6, 15))
+    assert plain.model is None and plain.chosen.reason == "only 3 labelled rows"
+    assert plain.metric.select("algorithm", "sample_count", "notes").first()[:] == (None, 3, "only 3 labelled rows")
+    assert {r["description"]: r["category_name"] for r in plain.ledger.collect()} == {"corner shop": "Groceries", "shoprite": "Groceries"}
+    seed = spark.createDataFrame([(f"{w} {k}", 0.0, 0, 1, c, "seed") for k in range(12) for w, c in (("kfc", "Dining Out"), ("zesco", "Utilities"))], "text STRING, amount DOUBLE, day_of_week INT, day_of_month INT, category_name STRING, category_source STRING")
+    taught = pipeline.refresh(few, category_dim(spark), D(2026, 6, 15), seed=seed)
+    assert taught.model is not None and taught.metric.first()["sample_count"] == 27
