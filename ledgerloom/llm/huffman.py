@@ -59,33 +59,33 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 def encode(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[bytes, np.ndarray]:
     """A block's bytes and the bit offsets of its checkpoints."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
+    if not len(ids):
+        return b"", np.zeros(0, np.uint32)
+    top = code.astype(np.uint64) << (64 - np.maximum(lengths, 1).astype(np.uint64))
+    size = lengths[ids]
+    ends = np.cumsum(size, dtype=np.int64)
     at = ends - size
-    total = int(ends[-1]) if len(ids) else 0
-    words = np.zeros(total // 64 + 2, np.uint64)
-    word, room = at >> 6, 64 - (at & 63) - size
-    value = code[ids].astype(np.uint64)
-    over = room < 0
-    left = np.where(over, value >> np.maximum(-room, 0).astype(np.uint64), value << np.maximum(room, 0).astype(np.uint64))
-    if len(ids):
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(left, first)
-        # At most one code reaches over the end of a word.
-        words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], at[::EVERY].astype(np.uint32)
+    word, off = at >> 6, (at & 63).astype(np.uint64)
+    left = top[ids]
+    words = np.zeros(int(ends[-1]) // 64 + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.bitwise_or.reduceat(left >> off, first)
+    # At most one code reaches over the end of a word.
+    over = np.flatnonzero((ends - 1) >> 6 != word)
+    words[word[over] + 1] |= left[over] << (64 - off[over])
+    return words.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], at[::EVERY].astype(np.uint32)
 
 
 class Decoder:
+    """Reads blocks by a table over the next bits: the code's length above, its id below."""
+
     def __init__(self, lengths: np.ndarray):
         self.bits = max(1, int(lengths.max(initial=1)))
-        self.ids = np.zeros(1 << self.bits, np.int32)
-        self.sizes = np.ones(1 << self.bits, np.int64)
+        self.table = np.full(1 << self.bits, 1 << 24, np.uint32)
         code = codes(lengths).astype(np.int64)
         for i in np.flatnonzero(lengths):
             spare = self.bits - int(lengths[i])
-            span = slice(code[i] << spare, (code[i] + 1) << spare)
-            self.ids[span], self.sizes[span] = i, lengths[i]
+            self.table[code[i] << spare : (code[i] + 1) << spare] = int(lengths[i]) << 24 | int(i)
 
     def __call__(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> np.ndarray:
         """The ids of all blocks (bytes, checkpoints, number of ids) in order."""
@@ -98,12 +98,14 @@ class Decoder:
             left.append(np.minimum(EVERY, n - EVERY * np.arange(len(marks))))
             base += len(data)
         if not at or not sum(map(len, at)):
-            return np.zeros(0, np.int32)
+            return np.zeros(0, np.uint32)
         at, left = np.concatenate(at), np.concatenate(left)
-        out = np.zeros((len(at), EVERY), np.int32)
-        end, mask = 8 * (len(ahead) - 1), (1 << self.bits) - 1
+        out = np.zeros((EVERY, len(at)), np.uint32)
+        end, down, mask = 8 * (len(ahead) - 1), 32 - self.bits, np.uint32((1 << self.bits) - 1)
         for step in range(int(left.max())):
-            seen = (ahead[at >> 3] >> (32 - self.bits - (at & 7)).astype(np.uint32)) & np.uint32(mask)
-            out[:, step] = self.ids[seen]
-            at = np.minimum(at + self.sizes[seen], end)
-        return out[np.arange(EVERY) < left[:, None]]
+            seen = (ahead.take(at >> 3) >> (down - (at & 7)).astype(np.uint32)) & mask
+            found = self.table.take(seen)
+            np.bitwise_and(found, np.uint32(0xFFFFFF), out=out[step])
+            at += found >> np.uint32(24)
+            np.minimum(at, end, out=at)
+        return out.T[np.arange(EVERY) < left[:, None]]

@@ -68,9 +68,9 @@ def train(labelled: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> np.nda
     bounded_batches(labelled.sparkSession)
 
     def run(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if rows.num_rows:
-            rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
             texts, labels = rows["text"].combine_chunks(), rows["label"].to_numpy().astype(np.int64)
             if isinstance(texts, pa.ChunkedArray):
                 texts = pa.concat_arrays(texts.chunks)

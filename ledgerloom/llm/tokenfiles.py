@@ -27,9 +27,17 @@ _TOGETHER = 1 << 20
 
 #: White space as the tokenizer's pattern has it (Unicode's White_Space).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where the tokenizer's pattern can't reach over: words with the one space in front of them, and runs of white space.
-_WHITE = re.compile(f"[{_SPACE}]")
+#: Letters and marks of which the pattern's classes are certain.
+_LETTER, _MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
+#: Where the pattern can't reach over: words with the one space in front of them, and runs of white space.
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Inside a unit: whole runs of letters or of marks with an ASCII character behind them, else all that is left.
+_PARTS = re.compile(rf" ?+[{_LETTER}]++(?![^\x00-\x7f])| ?+[{_MARK}]++(?![^\x00-\x7f]|')|\n(?=[{_LETTER}{_MARK}])|(?s:.)+")
+#: A part that the pattern takes as one.
+_ONE = re.compile(rf" ?[{_LETTER}]+| ?[{_MARK}]+|\n")
+#: White space that isn't one blank or line break between two other characters, and the character that marks a unit.
+_ODD = re.compile(rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\x00")
+_MARKED = "\0"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +46,29 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def units(text: str) -> list[str]:
+    """The units of a text: a word stands for itself behind a blank, one that begins with a line break or
+    a mark (left out) for itself alone."""
+    if not text:
+        return []
+    if _ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
+        return [_MARKED + u for u in _UNITS.findall(text)]
+    found = text.replace("\n", " \n").split(" ")
+    found[0] = _MARKED + found[0]
+    return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+#: Parts whose ids are remembered besides those of whole units.
+KNOWN_PARTS = 200_000
+
+
 @lru_cache(maxsize=2)
 def _table(path: str) -> UnitTable:
     """One tokenizer and table for a worker process, however many tasks it runs."""
@@ -46,36 +77,41 @@ def _table(path: str) -> UnitTable:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    between = tokenizer.encode("\n", add_special_tokens=False).ids
-    assert len(between) == 1
-
-    def encode(units: list[str]):
-        """Words go in bundles, a line break behind each: it is an id of its own there."""
-        plain = [n for n, u in enumerate(units) if not _WHITE.match(u[-1])]
-        out: list = [None] * len(units)
-        for k in range(0, len(plain), 256):
-            some = plain[k : k + 256]
-            ids = np.array(tokenizer.encode("\n".join(units[n] for n in some) + "\n", add_special_tokens=False).ids, np.int32)
-            cuts = np.flatnonzero(ids == between[0])
-            if len(cuts) != len(some):
-                raise ValueError("a unit holds the separator")
-            for n, a, b in zip(some, [0, *(cuts[:-1] + 1)], cuts):
-                out[n] = ids[a:b]
-        for n in range(len(units)):
-            if out[n] is None:
-                out[n] = tokenizer.encode(units[n], add_special_tokens=False).ids
-        return out
-
-    return UnitTable(encode, 600_000)
+    merge, letters, known = tokenizer.model.tokenize, _byte_letters(), {}
+
+    def ids_of(part: str) -> list[int]:
+        """A part that the pattern takes as one goes to the library's merges at once."""
+        if _ONE.fullmatch(part):
+            if part.isascii():
+                part = part.replace(" ", letters[32]).replace("\n", letters[10])
+            else:
+                part = part.encode().decode("latin-1").translate(letters)
+            return [t.id for t in merge(part)]
+        return tokenizer.encode(part, add_special_tokens=False).ids
+
+    def encode(new: list[str]):
+        for unit in new:
+            parts = _PARTS.findall(unit[1:] if unit[0] == _MARKED else unit if unit[0] == "\n" else " " + unit)
+            found: list[int] = []
+            for part in parts:
+                ids = known.get(part)
+                if ids is None:
+                    if len(known) >= KNOWN_PARTS:
+                        known.clear()
+                    ids = known[part] = ids_of(part)
+                found = found + ids if found else ids
+            yield found
+
+    return UnitTable(encode, 1_000_000)
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, and the offsets of each text's ids."""
-    units, ends = [], [0]
+    found, ends = [], [0]
     for text in texts:
-        units += _UNITS.findall(text)
-        ends.append(len(units))
-    ids, counts = _table(path)(units)
+        found += units(text)
+        ends.append(len(found))
+    ids, counts = _table(path)(found)
     return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[ends]
 
 
@@ -209,4 +245,5 @@ def token_index(docs: DataFrame, folder: str | None = None, path: str | None = N
 
     found = read(spark, folder).mapInArrow(sums, "doc_id long, n_tokens long, ids_crc32 long")
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("ids_crc32")]
-    return ordered(found, keys, {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
+    # Stored, as dealing out ranges reads its input twice.
+    return ordered(stored(found, "token-rows"), keys, {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
