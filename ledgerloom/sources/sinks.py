@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_key
 from ..functions.text import search
-from ..schema import rnd
+from ..schema import LEDGER, rnd
 
 HASH_KEY = ["user_id", "import_hash"]
 
@@ -81,8 +81,9 @@ def _created(spark: SparkSession, path: str) -> bool:
 
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published version of a ledger."""
-    return spark.read.parquet(f"{path}/versions/{_numbers(spark, f'{path}/published')[-1]:08d}").drop("month")
+    """The newest published version of a ledger, which may be empty."""
+    newest = _numbers(spark, f"{path}/published")[-1]
+    return spark.read.schema(f"{LEDGER}, month STRING").parquet(f"{path}/versions/{newest:08d}").drop("month")
 
 
 def publish(ledger: DataFrame, path: str) -> DataFrame:
