@@ -28,7 +28,8 @@ from ..params import DEFAULTS, Params
 from .evaluation import macro_score
 from .ranking import hashed_rank
 
-VOCABULARY = 1 << 18
+#: Every term: the most that the vectorizer's parameter can say. A smaller number keeps the commonest ones.
+VOCABULARY = 2**31 - 1
 
 
 def tfidf_stages(vocabulary: int = VOCABULARY) -> list:
@@ -52,7 +53,7 @@ def naive_bayes_stages() -> list:
     ]
 
 
-def random_forest_stages(trees: int = 200, depth: int = 10, vocabulary: int = 4096) -> list:
+def random_forest_stages(trees: int = 200, depth: int = 10, vocabulary: int = VOCABULARY) -> list:
     """Text weights with the scaled amount, the weekday and the day of the month."""
     return [
         *tfidf_stages(vocabulary),

@@ -212,7 +212,7 @@ def _(spark, sf):
 @register("ml_random_forest")
 def _(spark, sf):
     frame = _frame(spark, sf)
-    said = mllib.fit(frame, "RandomForest", trees=10, depth=5).predict(frame)
+    said = mllib.fit(frame, "RandomForest").predict(frame)
     return evaluation.macro_f1(said.select(F.col("category_name").alias("y"), F.col("predicted_category").alias("pred")))
 
 
