@@ -130,23 +130,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_spots long, fingerprint string")
 
 
-#: Ranges of doc_id for each shuffle partition.
-RANGES = 4
+#: Ranges of doc_id for each shuffle partition, and the most there are, which bounds the plan's literals.
+RANGES, MOST_RANGES = 4, 4096
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (range, tail, doc_id, text) dealt so that each document's partition holds the next one, too.
 
     Ranges of doc_id get a copy of the first row behind them (``tail`` 1); behind the last row comes
-    the first. The driver gets one row for each range, as many as four times the shuffle partitions.
+    the first. The driver gets one row for each range, ``MOST_RANGES`` at most; a task streams its
+    ranges, however large they are.
     A null doc_id sorts first; rows of one doc_id by a hash of their text.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.percentile_approx("doc_id", [k / (RANGES * n) for k in range(1, RANGES * n)], 100 * n).alias("cuts")
-    ).first()[0]
+    ranges = min(RANGES * n, MOST_RANGES)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 25 * ranges)).first()[0]
     cuts = sorted(set(cuts or []))
     range_ = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(range_).cast("int"))
