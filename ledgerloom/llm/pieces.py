@@ -14,9 +14,9 @@ mark, and decoding gives every text back exactly.
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -121,7 +121,7 @@ class Pieces:
 def _tools(path: str) -> tuple[Pieces, UnitTable]:
     """One vocabulary and table for a worker process, however many tasks it runs."""
     pieces = Pieces(path)
-    return pieces, UnitTable(pieces.segment, 250_000)
+    return pieces, UnitTable(lambda words: [array("i", ids).tobytes() for ids in pieces.segment(words)], 250_000)
 
 
 def units(text: str) -> list[str]:

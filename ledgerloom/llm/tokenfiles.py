@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -66,7 +67,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 #: Parts whose ids are remembered besides those of whole units.
-KNOWN_PARTS = 200_000
+KNOWN_PARTS = 120_000
 
 
 @lru_cache(maxsize=2)
@@ -79,30 +80,30 @@ def _table(path: str) -> UnitTable:
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     merge, letters, known = tokenizer.model.tokenize, _byte_letters(), {}
 
-    def ids_of(part: str) -> list[int]:
-        """A part that the pattern takes as one goes to the library's merges at once."""
+    def ids_of(part: str) -> bytes:
+        """Packed ids; a part that the pattern takes as one goes to the library's merges at once."""
         if _ONE.fullmatch(part):
             if part.isascii():
                 part = part.replace(" ", letters[32]).replace("\n", letters[10])
             else:
                 part = part.encode().decode("latin-1").translate(letters)
-            return [t.id for t in merge(part)]
-        return tokenizer.encode(part, add_special_tokens=False).ids
+            return array("i", [t.id for t in merge(part)]).tobytes()
+        return array("i", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def encode(new: list[str]):
         for unit in new:
             parts = _PARTS.findall(unit[1:] if unit[0] == _MARKED else unit if unit[0] == "\n" else " " + unit)
-            found: list[int] = []
+            found = b""
             for part in parts:
                 ids = known.get(part)
                 if ids is None:
                     if len(known) >= KNOWN_PARTS:
                         known.clear()
                     ids = known[part] = ids_of(part)
-                found = found + ids if found else ids
+                found += ids
             yield found
 
-    return UnitTable(encode, 1_000_000)
+    return UnitTable(encode, 800_000)
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+#: How ``encode`` packs the ids of a unit: little-endian, 32 bits each.
+PACKED = "<i4"
+
 
 class _Index(dict):
     """Numbers units in order of first use and remembers the new ones."""
@@ -20,13 +23,13 @@ class _Index(dict):
 
 
 class UnitTable:
-    """Ids of units by ``encode``, which gets distinct units and returns the ids of each.
+    """Ids of units by ``encode``, which gets distinct units and returns the packed ids of each.
 
     The table serves the next calls as well. It starts anew once it holds more than ``limit``
     units, which bounds a worker's memory and changes no result.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
         self._encode, self._limit = encode, limit
         self._clear()
 
@@ -42,13 +45,13 @@ class UnitTable:
         if self._index.new:
             found = list(self._encode(self._index.new))
             self._index.new = []
-            counts = np.fromiter(map(len, found), np.int64, len(found))
+            counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
             ends = self._used + np.cumsum(counts)
             if len(self._flat) < ends[-1]:
-                grown = np.zeros(int(ends[-1]) * 2, np.int32)
+                grown = np.zeros(int(ends[-1]) * 3 // 2, np.int32)
                 grown[: self._used] = self._flat[: self._used]
                 self._flat = grown
-            self._flat[self._used : ends[-1]] = np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum()))
+            self._flat[self._used : ends[-1]] = np.frombuffer(b"".join(found), PACKED)
             self._used = int(ends[-1])
             self._starts = np.concatenate([self._starts, ends])
         counts = self._starts[at + 1] - self._starts[at]

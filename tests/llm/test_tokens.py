@@ -145,7 +145,7 @@ def test_pieces_round_trip(spark):
 def test_unit_table_starts_anew(limit):
     from ledgerloom.llm.units import UnitTable
 
-    table = UnitTable(lambda words: [[len(w), 7] if w else [] for w in words], limit)
+    table = UnitTable(lambda words: [np.array([len(w), 7] if w else [], "<i4").tobytes() for w in words], limit)
     for _ in range(3):
         ids, counts = table(["a", "", "bbb", "a"])
         assert ids.tolist() == [1, 7, 3, 7, 1, 7] and counts.tolist() == [2, 0, 2, 2]
