@@ -104,6 +104,36 @@ def test_rejects_texts_without_words(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 4}
 
 
+FOREIGN = {
+    500: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era",
+    501: "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил",
+    502: "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心",
+    503: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+}
+
+
+def test_foreign_and_junk_documents_are_rejected(spark):
+    """Planted between the documents, whose declared language and source they carry; clean ones of few words stay."""
+    rng = random.Random(4)
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in given.collect()]
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(33, 127)))
+    gone = dict(FOREIGN)
+    gone[510] = " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(40))
+    gone[511] = " ".join("".join(rng.choices(signs, k=rng.randrange(2, 12))) for _ in range(80))
+    gone[512] = "4785 380592 12.5 2024-01-02 ### $$$"
+    start = max(d[0] for d in docs) + 1
+    planted = [(start + k, text, "en", docs[0][3]) for k, text in gone.items()]
+    short = [(start + 1000 + k, " ".join(t.split()[:4]), lang, s) for k, (_, t, lang, s) in enumerate(docs)]
+    both = [(start + 5000, docs[0][1] + " " + next(d[1] for d in docs if d[2] != docs[0][2]), docs[0][2], docs[0][3])]
+    rows = spark.createDataFrame(docs + planted + short + both, "doc_id long, text string, lang string, source string")
+    left = {r.doc_id for r in language.keep_identified(rows, given.select("text", "lang")).collect()}
+    assert not left & {d[0] for d in planted}
+    assert left == {d[0] for d in docs + short + both}
+    found = {r.id: r for r in language.identify(language.document_rows(rows), given.select("text", "lang")).collect()}
+    assert all((found[d[0]].lang, found[d[0]].text_lang, found[d[0]].probability) == ("und", "und", 0.0) for d in planted)
+
+
 @pytest.mark.parametrize("url, host, suffix", [("http://User@A.b.Example.COM:8080/x", "a.b.example.com", "com"), ("nothing", "", ""), (None, "", "")])
 def test_page_rows(spark, url, host, suffix):
     row = language.page_rows(spark.createDataFrame([(1, url, "<HTML class=x LANG='De-at'><script>a</script>b &amp; c")], PAGE)).first()
