@@ -4,8 +4,9 @@ Each source's documents are shuffled by a hash and laid end to end; that stream
 as often as needed, is cut into blocks of equal length. The schedule has a slot for each block the
 mix takes. Slot i falls on the i-th point of the golden-ratio sequence (whole-number arithmetic
 modulo 2**31) and goes to the source whose share of the cumulative targets holds the point; the
-k-th slot of a source takes its k-th block. A document's words taken are its overlaps with blocks
-that have a slot.
+k-th slot of a source takes its k-th block. What the slots leave open or give too much, up to a
+block or so for each source, is settled at the end of its stream, where a block is taken in part. A
+document's words taken are its overlaps with what is taken of the blocks.
 
 Nothing is ordered in one task: slots are ranked within runs of 2**16 and documents within
 hash ranges of their source, each on top of sums over the earlier ones, so that a source with a
@@ -106,14 +107,19 @@ def streams(sizes: DataFrame, documents: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    passes: int = PASSES,
+    block: int = BLOCK,
+    settle: bool = True,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
     Reads doc_id, text and source; returns doc_id, source, size, source_size, target, taken. A
     null text has size 0; a null source is a source of its own, the last. Documents without words
     are taken 0 times. Repeated rows are documents of their own; equal ones may swap places. An
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. The words taken of a source are its
+    target, rounded; without ``settle`` they are as many blocks as it has slots.
     """
     sizes = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size")
@@ -125,6 +131,17 @@ def mix(
     slots = stored(schedule(shares, -(-total // block)), "mix-slots")
     limits = slots.groupBy("sid").agg((F.count("*") * block).alias("limit"))
     sources = shares.join(limits, "sid", "left").withColumn("limit", F.coalesce("limit", F.lit(0)))
+    held = slots.withColumn("held", F.lit(block).cast("long"))
+    if settle:
+        sources = sources.withColumn("had", F.floor(F.col("limit") / block)).withColumn("limit", F.round("target").cast("long"))
+        sources = stored(sources, "mix-settled")
+        # Blocks behind those that have a slot: a few for a source, as the slots follow the targets closely.
+        need = F.ceil(F.col("limit") / block)
+        more = sources.where(need > F.col("had")).select("sid", F.explode(F.sequence("had", need - 1)).alias("k"))
+        rest = F.col("limit") - F.col("k") * block
+        held = slots.unionByName(more).join(sources.select("sid", "limit"), "sid").where(rest > 0)
+        held = held.select("sid", "k", F.least(F.lit(block), rest).cast("long").alias("held"))
+        sources = sources.drop("had")
     named = sizes.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     empty = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
@@ -136,16 +153,16 @@ def mix(
     taken = taken.withColumn("lo", F.col("start") + F.col("turn") * F.col("source_size"))
     cut = lambda c: F.floor(c / block).cast("long")
     taken = taken.select("*", F.explode_outer(F.sequence(cut(F.col("lo")), cut(F.col("lo") + F.col("size") - 1))).alias("k"))
-    held = taken.join(slots.withColumn("hit", F.lit(True)), ["sid", "k"], "left")
-    overlap = F.least(F.col("lo") + F.col("size"), (F.col("k") + 1) * block) - F.greatest(F.col("lo"), F.col("k") * block)
-    summed = held.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("hit"), overlap)), F.lit(0)).alias("taken"))
+    met = taken.join(held, ["sid", "k"], "left")
+    overlap = F.least(F.col("lo") + F.col("size"), F.col("k") * block + F.col("held")) - F.greatest(F.col("lo"), F.col("k") * block)
+    summed = met.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("held").isNotNull() & (overlap > 0), overlap)), F.lit(0)).alias("taken"))
     return summed.select("doc_id", "source", "size", "source_size", "target", "taken").unionByName(empty)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns, as often as the mix takes them.
 
-    Slots take a prefix of a source's stream after its full rounds, so at most one document of a
+    Blocks take a prefix of a source's stream after its full rounds, so at most one document of a
     source is taken in part; it stays whole. Documents that the mix takes no word of go.
     """
     plan = mix(docs, weights, passes).where("taken > 0")

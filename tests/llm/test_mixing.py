@@ -62,6 +62,23 @@ def test_rows_of_the_mix(spark):
     assert times == {d: -(-t // n) for d, (t, n) in plan.items() if t}
 
 
+def test_small_sources_by_large_blocks(spark, monkeypatch):
+    """Blocks of 4096 words, as on large input: every source's taken words are its rounded target."""
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 1)
+    rows = [(k, "w " * 5000, "hot") for k in range(400)]
+    words = {"b": 300, "c": 900, "d": 4097, "e": 30000, "a": 1, "z": 2500}
+    for k, (source, n) in enumerate(words.items()):
+        rows += [(1000 + 100 * k + j, "v " * (n // 10 + (j < n % 10)), source) for j in range(10)]
+    docs = frame(spark, rows)
+    found = mixing.mix(docs).collect()
+    taken, targets = {}, reshared({**words, "hot": 2_000_000})
+    for r in found:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - t) <= 0.5 + 1e-6 for s, t in targets.items())
+    assert {r.source for r in mixing.mixed(docs).select("source").distinct().collect()} == {*words, "hot"}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(None, "a b c", None), (None, "a b c", None)], [(1, "a", "s"), (1, "a", "s")]])
 def test_small_tables(spark, rows):
     found = mixing.mix(frame(spark, rows)).collect()
