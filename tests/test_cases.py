@@ -594,3 +594,14 @@ def test_refresh_declines_or_takes_the_seed(spark):
     seed = spark.createDataFrame([(f"{w} {k}", 0.0, 0, 1, c, "seed") for k in range(12) for w, c in (("kfc", "Dining Out"), ("zesco", "Utilities"))], "text STRING, amount DOUBLE, day_of_week INT, day_of_month INT, category_name STRING, category_source STRING")
     taught = pipeline.refresh(few, category_dim(spark), D(2026, 6, 15), seed=seed)
     assert taught.model is not None and taught.metric.first()["sample_count"] == 27
+
+
+def test_categories_with_many_parts(spark):
+    """A category's name is found however many words, signs and digits it has."""
+    names = ["Repairs, paint and garden of the house we let (2019-2024)", "Crédit à taux zéro d'été é è ê ë ô", "Fuel"]
+    category = spark.createDataFrame([(n,) for n in names], "category_name string")
+    rows = [(k, f"how much did i spend on {n.lower()} last month") for k, n in enumerate(names)] + [(9, "how much on let (2019"), (10, "")]
+    found = qa.with_categories(spark.createDataFrame(rows, "id int, text string"), "text", category).collect()
+    assert {r.id: r.categories for r in found} == {**{k: [n] for k, n in enumerate(names)}, 9: [], 10: []}
+    none = qa.with_categories(spark.createDataFrame(rows, "id int, text string"), "text", category.limit(0)).collect()
+    assert all(r.categories == [] for r in none)
