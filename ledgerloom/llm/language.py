@@ -15,7 +15,7 @@ That a text is in none of the languages is a hypothesis of its own, and a matter
 Under it each trigram of the text's letters, case folded, has the same likelihood: half way (in logs)
 between what the languages' own texts reach and what the texts of one language reach under the
 others. The other side is the likeliest language of each trigram, so a text of several known
-languages is a known one. Signs, digits and words with digits don't count.
+languages is a known one. Signs, digits, addresses and words with digits don't count.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ BITS, NGRAMS, TEMPER, STRENGTH = 15, (3,), 0.1, 4.0
 SAMPLE = 1500
 #: Table size for trigrams of letters, the exponent of their likelihoods, and the prior of no known language.
 LETTER_BITS, REACH, NONE = 16, 0.3, 0.01
-#: Words with digits, and runs without letters.
-NO_LETTERS = r"[\pL\pM]*\pN[\pL\pM\pN]*|[^\pL\pM]+"
+#: Web and mail addresses, words with digits, and runs without letters.
+NO_LETTERS = r"(?:https?://\S+|[\w.%+-]{1,64}@[\w.-]+|[\pL\pM]*\pN[\pL\pM\pN]*|[^\pL\pM]+)+"
 
 
 def letters(texts: pa.Array) -> pa.Array:

@@ -104,6 +104,11 @@ def test_rejects_texts_without_words(spark):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 4}
 
 
+def test_addresses_are_no_words():
+    text = "With +1 (807) 555-5623 xqzvkw.06@mail4.example.com THE https://qqq.example/zzz a1b and."
+    assert language.letters(language.pa.array([text, None, "12 ##"])).to_pylist() == ["with the and ", "", " "]
+
+
 FOREIGN = {
     500: "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, ché la diritta via era smarrita. Ahi quanto a dir qual era",
     501: "Мой дядя самых честных правил, когда не в шутку занемог, он уважать себя заставил",
