@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -71,13 +72,15 @@ KNOWN_PARTS = 120_000
 
 
 @lru_cache(maxsize=2)
-def _table(path: str) -> UnitTable:
-    """One tokenizer and table for a worker process, however many tasks it runs."""
+def _table(path: str) -> tuple[UnitTable, Callable[[str], list[int] | None]]:
+    """One tokenizer and table for a worker process, however many tasks it runs; and the ids of a text that
+    holds the string of an added token, which the library takes as a whole (None for other texts)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    if tokenizer.get_vocab_size() > 1 << 16:
+        raise ValueError("token files hold ids of 16 bits")
     merge, letters, known = tokenizer.model.tokenize, _byte_letters(), {}
 
     def ids_of(part: str) -> bytes:
@@ -103,17 +106,31 @@ def _table(path: str) -> UnitTable:
                 found += ids
             yield found
 
-    return UnitTable(encode, 800_000)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(text: str) -> list[int] | None:
+        return tokenizer.encode(text, add_special_tokens=False).ids if any(a in text for a in added) else None
+
+    return UnitTable(encode, 800_000), whole
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, and the offsets of each text's ids."""
-    found, ends = [], [0]
-    for text in texts:
-        found += units(text)
+    table, whole = _table(path)
+    found, ends, special = [], [0], {}
+    for k, text in enumerate(texts):
+        ids = whole(text)
+        if ids is None:
+            found += units(text)
+        else:
+            special[k] = np.array(ids, np.int32)
         ends.append(len(found))
-    ids, counts = _table(path)(found)
-    return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[ends]
+    ids, counts = table(found)
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[ends]
+    if special:
+        parts = [special.get(k, ids[offsets[k] : offsets[k + 1]]) for k in range(len(texts))]
+        ids, offsets = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+    return ids, offsets
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerloom.llm import huffman, pieces, tokenfiles
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [
     "", None, "Hello world", "  two  spaces \n\n and\tlines\r\n ", "it's we'll I'D 12345 6,78", "ÄÖ ß é 漢字 😀 ñ x y　z",
-    "<|endoftext|> </s> <s> <0x0A> ▁mark ▁", "a\x1cb \x85c\x00d", "\n", " ", "word " * 500, "x" * 5000, "a" + "́" * 3 + "﻿",
+    "<|endoftext|> </s> <s> <0x0A> ▁mark ▁", "hi <|endoftext|> there", "<|endoftext|><|endoftext|>\n\n  x", "a\x1cb \x85c\x00d", "\n", " ", "word " * 500, "x" * 5000, "a" + "́" * 3 + "﻿",
 ]
 
 
@@ -25,9 +25,7 @@ def frame(spark, rows):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenfiles.vocabulary_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenfiles.vocabulary_path())
 
 
 def direct(text):
