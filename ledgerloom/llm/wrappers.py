@@ -12,11 +12,13 @@ rounds, so a host with a third of all pages is work for all tasks.
 The slots of the main text are chosen once for a wrapper: what lies in menus, headers, footers,
 sidebars, notices, adverts, forms and comments is out; then the article, or else the smallest
 element with most of the text over all pages of the host. A page is matched with its host's
-wrapper, and the text in those slots is the result.
+wrapper, and the text in those slots is the result. Elements nested deeper than ``DEPTH`` are read as
+neighbours, so nothing here recurses deeper than that.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import json
 import re
@@ -71,30 +73,68 @@ OUT_WORDS = frozenset(
 #: Out unless inside an article, where they hold its title.
 PAGE_ONLY = frozenset({"header"})
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: Words in front of a name that only tell a state, and words that only name a part or a place of what a name's first word is.
+STATES = frozenset("has have with without no not is are js hide hidden show open enable disable".split())
+PARTS_OF = frozenset(
+    "left right top bottom upper lower first last main primary secondary inner outer wrap wrapper container area box block "
+    "list item items slot section bar panel row col column content links link buttons button form posts articles post "
+    "article title heading text body unit zone group toggle".split()
+)
+#: Readers' comments go however long they are; other names go only where they don't hold most of the text.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Elements that no name but that of comments takes out; a section's id is a place to link to.
+KEPT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper are read as neighbours at that depth, as browsers do; what is out stays out.
+DEPTH = 200
+
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*+)(?:>|\Z)", re.S
+)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _means(name: str) -> str:
+    """The word of ``OUT_WORDS`` that a class or id stands for, or ''.
+
+    That is its last word, or its first one if all others name a part of it; with a state in front
+    it says nothing about the element itself.
+    """
+    words = [w.lower() for w in _WORD.findall(name)]
+    if not words or words[0] in STATES and len(words) > 1:
+        return ""
+    if words[-1] in OUT_WORDS:
+        return words[-1]
+    return words[0] if words[0] in OUT_WORDS and set(words[1:]) <= PARTS_OF else ""
+
+
 def _label(tag: str, attributes: str) -> str:
-    """Name of the element and the letters of its class, id and role; '!' in front if it is never main text."""
+    """Name of the element and the letters of its class, id and role.
+
+    In front: '!' if it is never main text, '~' if its name says so, which is weighed later.
+    """
     out = tag in OUT_TAGS
     words: list[str] = []
+    means: set[str] = set()
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id"):
                 words += [w.lower() for w in _WORD.findall(value)]
+                mine = {_means(part) for part in value.split()}
+                means |= mine & COMMENTS if name == "id" and tag == "section" else mine
             elif name == "role":
                 out = out or value.lower() in OUT_ROLES
                 words.append("role-" + value.lower())
             elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 out = True
+    means.discard("")
     if tag not in ("html", "body"):
-        out = out or not OUT_WORDS.isdisjoint(words)
+        out = out or not means.isdisjoint(COMMENTS)
         if "header" in words and not {"article", "post", "entry", "story"} & set(words):
             words.append("(header)")
-    return ("!" if out else "") + tag + "".join("." + w for w in words)
+    mark = "!" if out else "~" if means and tag not in KEPT_TAGS else ""
+    return mark + tag + "".join("." + w for w in words)
 
 
 _labels: dict[tuple[str, str], str] = {}
@@ -112,6 +152,7 @@ def tree(page: str) -> list:
     """The page's elements: [label, marks, children] and, for a block's text, ['#', 0, text]."""
     root: list = ["", 0, []]
     stack, names = [root], [""]
+    opened: dict[str, int] = {}  # open elements by name
     pending: list[str] = []
 
     def flush():
@@ -122,8 +163,16 @@ def tree(page: str) -> list:
 
     def pop(to: int):
         flush()
+        for name in names[to:]:
+            opened[name] -= 1
         del stack[to:], names[to:]
 
+    def nearest(tag: str) -> int:
+        k = len(names) - 1
+        while names[k] != tag:
+            k -= 1
+        return k
+
     at, end = 0, len(page)
     while at < end:
         found = _TAG.search(page, at)
@@ -142,18 +191,18 @@ def tree(page: str) -> list:
                 pending.append(" ")
             continue
         if found[1]:
-            if tag in names:
-                pop(len(names) - 1 - names[::-1].index(tag))
+            if opened.get(tag):
+                pop(nearest(tag))
             else:
                 flush()
             continue
         flush()
-        if tag in ENDS_P and "p" in names:
+        if tag in ENDS_P and opened.get("p"):
             # Unless something like a button or a cell is in between.
-            k = len(names) - 1 - names[::-1].index("p")
+            k = nearest("p")
             if not {"button", "td", "th", "object", "caption"} & set(names[k:]):
                 pop(k)
-        if tag in CLOSES:
+        if tag in CLOSES and any(opened.get(x) for x in CLOSES[tag]):
             fence = FENCES.get(tag, {"table"})
             k = len(names) - 1
             last = 0
@@ -163,8 +212,18 @@ def tree(page: str) -> list:
                 k -= 1
             if last:
                 pop(last)
-        node = [_known_label(tag, found[3].rstrip("/")), 0, []]
-        stack[-1][2].append(node)
+        label = _known_label(tag, found[3].rstrip("/"))
+        above = stack[-1]
+        if len(stack) > DEPTH:  # a neighbour of the element that it is nested in
+            if above[0][:1] == "!" and label[0] != "!":
+                label = "!" + label.lstrip("~")
+            elif above[0][:1] == "~" and label[0] not in "!~":
+                label = "~" + label
+            home = stack[DEPTH - 1]
+        else:
+            home = above
+        node = [label, 0, []]
+        home[2].append(node)
         if tag in VOID or found[3].endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
@@ -173,6 +232,7 @@ def tree(page: str) -> list:
             continue
         stack.append(node)
         names.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return root[2]
 
@@ -208,26 +268,77 @@ def fold(nodes: list) -> list:
     return out
 
 
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of two label sequences.
+
+    Short ones by a table; long ones by the places that agree (Hunt and Szymanski), which takes time
+    by the number of agreeing pairs. Where even these are too many, the ends of the sequences are
+    matched greedily, which leaves more of both optional but loses nothing.
+    """
+    if len(a) * len(b) <= 1 << 16:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    if sum(len(places.get(x, ())) for x in a) > 1 << 20:
+        out, j = [], 0
+        for i, x in enumerate(a):
+            k = bisect.bisect_right(places.get(x, []), -j, key=lambda p: -p) if x in places else 0
+            if k:
+                out.append((i, places[x][k - 1]))
+                j = places[x][k - 1] + 1
+        return out
+    ends: list[int] = []
+    links: list = []
+    for i, x in enumerate(a):
+        for j in places.get(x, ()):
+            k = bisect.bisect_left(ends, j)
+            link = (i, j, links[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                links.append(link)
+            else:
+                ends[k], links[k] = j, link
+    out, link = [], links[-1] if links else None
+    while link:
+        out.append((link[0], link[1]))
+        link = link[2]
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of both sequences: what they share in order is joined, the rest is optional."""
-    if [n[0] for n in a] == [n[0] for n in b]:
-        return [_join(x, y) for x, y in zip(a, b)]
-    # Longest common sequence of labels, from the ends.
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][0] == b[j][0]:
-            out.append(_join(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1] | OPTIONAL, a[i][2]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1] | OPTIONAL, b[j][2]])
-            j += 1
+    head = 0
+    while head < len(a) and head < len(b) and a[head][0] == b[head][0]:
+        head += 1
+    out = [_join(x, y) for x, y in zip(a[:head], b[:head])]
+    if head == len(a) == len(b):
+        return out
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail][0] == b[-1 - tail][0]:
+        tail += 1
+    rest, other = a[head : len(a) - tail], b[head : len(b) - tail]
+    i = j = 0
+    for x, y in [*_common([n[0] for n in rest], [n[0] for n in other]), (len(rest), len(other))]:
+        for side, start, stop in ((rest, i, x), (other, j, y)):
+            out += [[n[0], n[1] | OPTIONAL, n[2]] for n in side[start:stop]]
+        if x < len(rest) or y < len(other):
+            out.append(_join(rest[x], other[y]))
+        i, j = x + 1, y + 1
+    out += [_join(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :])]
     return fold(out)
 
 
@@ -235,6 +346,25 @@ def _is_out(label: str, inside: bool) -> bool:
     return label[0] == "!" or not inside and (label.partition(".")[0] in PAGE_ONLY or "(header)" in label)
 
 
+def weighed(nodes: list) -> list:
+    """The wrapper with '~' elements settled: those that hold at least half of the text stay, others are out ('!')."""
+
+    def weight(children: list) -> int:
+        return sum(n[2] if n[0] == SLOT else 0 if n[0][0] == "!" else weight(n[2]) for n in children)
+
+    total = weight(nodes)
+
+    def settle(children: list) -> list:
+        out = []
+        for label, marks, rest in children:
+            if label[0] == "~":
+                label = ("" if 2 * weight(rest) >= total else "!") + label[1:]
+            out.append([label, marks, rest if label == SLOT else settle(rest)])
+        return out
+
+    return settle(nodes)
+
+
 def _is_article(label: str) -> bool:
     tag, *words = label.split(".")
     return tag == "article" or "articlebody" in words or {"article", "body"} <= set(words)
@@ -246,6 +376,23 @@ def _is_main(label: str) -> bool:
 
 def choose(wrapper: list) -> list:
     """Mark the slots of the main text: in articles, else in main, else in the smallest element with most text."""
+    settled = weighed(wrapper)
+    _choose(settled)
+    _hand_back(settled, wrapper)
+    return wrapper
+
+
+def _hand_back(settled: list, wrapper: list) -> None:
+    """The marks of the slots of the same wrapper with settled labels."""
+    for x, y in zip(settled, wrapper):
+        if x[0] == SLOT:
+            y[1] = x[1]
+        else:
+            _hand_back(x[2], y[2])
+
+
+def _choose(wrapper: list) -> list:
+    """``choose`` where every element is in or out."""
 
     def weight(nodes: list, inside: bool) -> int:
         total = 0

@@ -1,6 +1,9 @@
 """Wrappers and language identification on small pages."""
 
+import html
 import random
+import re
+import time
 
 import pytest
 
@@ -143,3 +146,83 @@ def test_foreign_and_junk_documents_are_rejected(spark):
 def test_page_rows(spark, url, host, suffix):
     row = language.page_rows(spark.createDataFrame([(1, url, "<HTML class=x LANG='De-at'><script>a</script>b &amp; c")], PAGE)).first()
     assert (row.host, row.suffix, row.declared, row.text.split()) == (host, suffix, "de", ["b", "c"])
+
+
+TEXT = "This is the paragraph of text that should be there."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article class='post comments-open'><p>{TEXT}</p></article><footer>f</footer>", TEXT),
+        (f"<article class='post category-promo'><p>{TEXT}</p></article>", TEXT),
+        (f"<main class='has-menu'><p>{TEXT}</p></main>", TEXT),
+        (f"<div class='layout with-sidebar'><article><p>{TEXT}</p></article><div class='sidebar'>side</div></div>", TEXT),
+        (f"<article><p>{TEXT}</p><h2 id='related-work'>Related work</h2><p>more</p></article>", f"{TEXT}\nRelated work\nmore"),
+        (f"<article><p>{TEXT}</p><section id='copyright'><p>c</p></section></article>", f"{TEXT}\nc"),
+        (f"<article><p title=\"x>oops</p><p>{TEXT}</p></article>", f"oops\n{TEXT}"),
+        # Readers' comments go however long, related articles and named boxes too.
+        (f"<article><p>{TEXT}</p></article><section id='comments'><article><p>{TEXT * 9}</p></article></section>", TEXT),
+        (f"<article><p>{TEXT}</p></article><div class='related-posts'><article><p>a</p></article></div>", TEXT),
+        (f"<div class='sidebar-left'>x</div><div class='content'><p>{TEXT}</p></div><div class='main-nav'>y</div>", TEXT),
+    ],
+)
+def test_names_of_elements(spark, page, want):
+    df = spark.createDataFrame([(1, "http://a.example/1", f"<html><body>{page}</body></html>")], "page_id long, url string, html string")
+    (row,) = wrappers.extract(df).collect()
+    assert (row.text, row.n_chars) == (want, len(want))
+
+
+def test_deep_pages(spark):
+    deep = "<body><article>" + "<div>" * 100_000 + TEXT
+    hidden = "<body><nav>" + "<div>" * 1000 + "menu</nav><p>" + TEXT
+    lists = "<body><article>" + "<ul><li>" * 3000 + TEXT
+    df = spark.createDataFrame([(k, f"http://{k}.example/", h) for k, h in enumerate((deep, hidden, lists))], "page_id long, url string, html string")
+    assert [r.text for r in wrappers.extract(df).orderBy("page_id").collect()] == [TEXT] * 3
+
+
+def test_many_unlike_siblings():
+    def page(mark, n=20_000):
+        return "".join(f"<div class='{mark}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{mark}'><p>t</p></div>" for k in range(n))
+
+    start = time.time()
+    both = wrappers.align(wrappers.fold(wrappers._copy(wrappers.tree(page("q")))), wrappers.fold(wrappers._copy(wrappers.tree(page("x")))))
+    assert len(both) > 30_000 and all(n[1] & wrappers.OPTIONAL for n in both)
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_common_sequences(seed):
+    """Both exact ways give a sequence as long as the table's; the greedy one gives a common sequence."""
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(300, 420))] for _ in range(2))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    for long in (a, a + ["z"] * 40_000):
+        found = wrappers._common(long, b)
+        assert len(found) == best[0][0]
+        assert all(long[i] == b[j] for i, j in found) and found == sorted(set(found))
+    greedy = wrappers._common(a * 40, b * 40)
+    assert len(greedy) > len(b) and all(a[i % len(a)] == b[j % len(b)] for i, j in greedy)
+
+
+def by_markup(page):
+    """The text between the article's tags, a line for each block, by plain replacement."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>", "", body, flags=re.S)
+    lines = re.split(r"</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote|pre|table|tr|td|figure|figcaption)\b[^>]*>", body)
+    lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith("<br") else "", x)).split()) for x in lines]
+    return "\n".join(x for x in lines if x)
+
+
+def test_against_the_articles_of_the_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    found = {r.page_id: r.text for r in wrappers.extract(pages).collect()}
+    assert found.keys() == raw.keys()
+    with_article = [k for k, h in raw.items() if h and "<article>" in h and "</article>" in h]
+    assert len(with_article) > 0.8 * len(raw)
+    for k in with_article:
+        assert found[k] == by_markup(raw[k])
