@@ -189,11 +189,12 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str]
                 text = b" " + b" ".join(words) + b" "
                 places, labels = [], set()
                 for phrase, label in phrases:
-                    at = text.find(phrase)
+                    at, last, place = text.find(phrase), 0, 0
                     while at >= 0:
-                        places.append(text.count(b" ", 0, at))
+                        place += text.count(b" ", last, at)
+                        places.append(place)
                         labels.add(label)
-                        at = text.find(phrase, at + 1)
+                        last, at = at, text.find(phrase, at + 1)
                 found = {label for label, a in automata.items() if a.anchor in text and a.matches(words)}
                 weight = len(places) + 2 * len(found)
                 row = (len(words), len(places), min(places, default=None), max(places, default=None))
