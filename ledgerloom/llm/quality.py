@@ -95,7 +95,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         share = F.when(F.col("label") == label, F.lit(min(1.0, sample / 2 / count))).otherwise(share)
     picked = known.where(draw < share * (1 << 20)).select(F.col("doc_id").alias("_id"), "label")
     # At most about `sample` rows of two numbers: a bounded side.
-    joined = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
