@@ -1,193 +1,65 @@
-"""MLlib pipelines: TF-IDF, naive Bayes, random forest, and their cross-validated choice."""
+"""Naive Bayes as an MLlib pipeline over hashed terms, an alternative to the exact table form."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes, RandomForestClassifier
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    HashingTF,
     IndexToString,
-    MinMaxScaler,
     NGram,
     Normalizer,
-    OneHotEncoder,
     RegexTokenizer,
     SQLTransformer,
     StringIndexer,
     StringIndexerModel,
-    VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..params import DEFAULTS, Params
-from .evaluation import macro_score
-from .ranking import hashed_rank
+#: Places that terms are hashed to; the model has as many weights for each label, whatever the vocabulary.
+PLACES = 1 << 18
 
-#: Every term: the most that the vectorizer's parameter can say. A smaller number keeps the commonest ones.
-VOCABULARY = 2**31 - 1
 
-
-def tfidf_stages(vocabulary: int = VOCABULARY) -> list:
-    """Words and pairs of words, counted, weighted by rarity, to unit length."""
+def stages(places: int = PLACES) -> list:
+    """Words and pairs of words, counted by place, weighted by rarity, to unit length; naive Bayes on top."""
     return [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\w\w+", gaps=False),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary),
+        HashingTF(inputCol="terms", outputCol="counts", numFeatures=places),
         IDF(inputCol="counts", outputCol="rare"),
         Normalizer(inputCol="rare", outputCol="tfidf"),
+        NaiveBayes(modelType="multinomial", smoothing=0.1, featuresCol="tfidf", labelCol="label", weightCol="weight"),
     ]
 
 
-def naive_bayes_stages() -> list:
-    return [
-        *tfidf_stages(),
-        NaiveBayes(
-            modelType="multinomial", smoothing=0.1, featuresCol="tfidf", labelCol="label", weightCol="weight"
-        ),
-    ]
-
-
-def random_forest_stages(trees: int = 200, depth: int = 10, vocabulary: int = VOCABULARY) -> list:
-    """Text weights with the scaled amount, the weekday and the day of the month."""
-    return [
-        *tfidf_stages(vocabulary),
-        VectorAssembler(inputCols=["amount"], outputCol="amount_vector"),
-        MinMaxScaler(inputCol="amount_vector", outputCol="amount_scaled"),
-        OneHotEncoder(inputCol="day_of_week", outputCol="weekday", handleInvalid="keep", dropLast=False),
-        VectorAssembler(inputCols=["tfidf", "amount_scaled", "weekday", "day_of_month"], outputCol="features"),
-        RandomForestClassifier(
-            numTrees=trees, maxDepth=depth, seed=42, labelCol="label", featuresCol="features", weightCol="balanced"
-        ),
-    ]
-
-
-def with_balance(frame: DataFrame) -> DataFrame:
-    """``balanced``: the row weight times total / (classes x class size)."""
-    sizes = frame.groupBy("category_name").agg(F.sum("weight").alias("class_n"))
-    whole = sizes.agg(F.sum("class_n").alias("n"), F.count("*").alias("k")).first()
-    factor = F.lit(whole["n"] / whole["k"]) / F.col("class_n")
-    return frame.join(sizes, "category_name").withColumn("balanced", F.col("weight") * factor).drop("class_n")
-
-
 @dataclass(frozen=True)
 class LabelModel:
-    """A fitted pipeline with its label names; predicts from description features."""
+    """A fitted pipeline with its label names."""
 
     pipeline: PipelineModel
     labels: StringIndexerModel
-    algorithm: str
 
     def predict(self, df: DataFrame) -> DataFrame:
-        added = {}
-        if "day_of_week" not in df.columns:
-            added = {
-                "day_of_week": F.coalesce(F.weekday("txn_date"), F.lit(0)),
-                "day_of_month": F.coalesce(F.dayofmonth("txn_date"), F.lit(1)),
-            }
-        keep = df.columns
-        rows = df.withColumns(
-            {**added, "real_amount": F.col("amount"), "amount": F.coalesce(F.col("amount").cast("double"), F.lit(0.0))}
-        )
         named = IndexToString(inputCol="prediction", outputCol="predicted_category", labels=self.labels.labels)
-        return (
-            named.transform(self.pipeline.transform(rows))
-            .withColumn("predicted_probability", F.array_max(vector_to_array("probability")))
-            .withColumn("amount", F.col("real_amount"))
-            .select(*keep, "predicted_category", "predicted_probability")
+        said = named.transform(self.pipeline.transform(df))
+        return said.withColumn("predicted_probability", F.array_max(vector_to_array("probability"))).select(
+            *df.columns, "predicted_category", "predicted_probability"
         )
 
 
-def _fit(frame: DataFrame, labels: StringIndexerModel, algorithm: str, trees: int, depth: int) -> LabelModel:
-    rows = labels.transform(frame)
-    if algorithm == "RandomForest":
-        stages = random_forest_stages(trees, depth)
-        rows = with_balance(rows)
-    else:
-        stages = naive_bayes_stages()
-    return LabelModel(Pipeline(stages=stages).fit(rows), labels, algorithm)
-
-
-def fit(frame: DataFrame, algorithm: str = "MultinomialNB", trees: int = 200, depth: int = 10) -> LabelModel:
-    """Fit one classifier on a training frame (text, amount, days, category_name, weight)."""
+def fit(frame: DataFrame, places: int = PLACES) -> LabelModel:
+    """Fit on a training frame (text, category_name, weight)."""
     kept = frame.persist()  # every stage of the pipeline passes over it
     try:
         labels = StringIndexer(
             inputCol="category_name", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"
         ).fit(kept)
-        return _fit(kept, labels, algorithm, trees, depth)
+        return LabelModel(Pipeline(stages=stages(places)).fit(labels.transform(kept)), labels)
     finally:
         kept.unpersist()
-
-
-def with_folds(frame: DataFrame, k: int, identity: str = "row_id") -> DataFrame:
-    """Stratified folds 0..k-1: every class is dealt out evenly in hash order."""
-    ranked = hashed_rank(frame, "category_name", identity)
-    return ranked.withColumn("fold", ((F.col("position") - 1) % k).cast("int")).drop("position")
-
-
-@dataclass(frozen=True)
-class Selection:
-    algorithm: str | None
-    f1: float | None
-    scores: dict
-    folds: int
-    reason: str
-    samples: int
-    classes: int
-
-
-def gate(frame: DataFrame, params: Params = DEFAULTS, max_folds: int = 5) -> Selection:
-    """Whether the frame can train, and with how many folds it can be tested."""
-    sizes = frame.groupBy("category_name").agg(F.sum("weight").alias("n"))
-    row = sizes.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("n").alias("rarest")).first()
-    n, k, rarest = int(row["n"] or 0), int(row["k"]), int(row["rarest"] or 0)
-    if n < params.min_training_rows:
-        return Selection(None, None, {}, 0, f"only {n} labelled rows", n, k)
-    if k < 2:
-        return Selection(None, None, {}, 0, "one class only", n, k)
-    folds = min(max_folds, rarest)
-    return Selection("MultinomialNB", None, {}, folds if folds >= 2 else 0, "ready", n, k)
-
-
-def select_classifier(
-    frame: DataFrame, params: Params = DEFAULTS, identity: str = "row_id", trees: int = 200, depth: int = 10
-) -> Selection:
-    """Cross-validate both classifiers; the best macro F1 wins, naive Bayes on a tie.
-
-    The driver only loops over folds and algorithms; every fit is a Spark job.
-    """
-    ready = gate(frame, params)
-    if ready.algorithm is None or ready.folds < 2:
-        return ready
-    rows = with_folds(frame, ready.folds, identity).persist()
-    try:
-        scores = {}
-        for algorithm in ("MultinomialNB", "RandomForest"):
-            held_out = None
-            for fold in range(ready.folds):
-                model = fit(rows.filter(F.col("fold") != fold), algorithm, trees, depth)
-                said = model.predict(rows.filter(F.col("fold") == fold)).select(
-                    F.col("category_name").alias("y"), F.col("predicted_category").alias("pred")
-                )
-                held_out = said if held_out is None else held_out.unionByName(said)
-            scores[algorithm] = macro_score(held_out)
-    finally:
-        rows.unpersist()
-    best = max(scores, key=scores.get)
-    return Selection(best, scores[best], scores, ready.folds, f"{ready.folds}-fold CV", ready.samples, ready.classes)
-
-
-def train(
-    frame: DataFrame, params: Params = DEFAULTS, identity: str = "row_id", trees: int = 200, depth: int = 10
-) -> tuple[Selection, LabelModel | None]:
-    """Select by cross-validation, then fit the winner on everything."""
-    chosen = select_classifier(frame, params, identity, trees, depth)
-    if chosen.algorithm is None:
-        return chosen, None
-    return chosen, fit(frame, chosen.algorithm, trees, depth)
