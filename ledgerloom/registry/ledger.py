@@ -688,15 +688,15 @@ def _(spark, sf):
     (SELECT user_id FROM OLD UNION ALL SELECT user_id FROM NEW) GROUP BY ALL""",
 )
 def _(spark, sf):
-    """Write the ledger, append the overlapping batch twice, and read it back."""
+    """Publish the ledger, insert the overlapping batch twice, and read the newest version."""
     from ..session import scratch_path
 
     ledger, batch = _halves(spark, sf)
     path = scratch_path(spark, "ledger")
-    sinks.write_ledger(ledger, path)
+    sinks.publish(ledger, path)
     for _ in range(2):
-        sinks.append_ledger(spark, path, batch)
-    return spark.read.parquet(path).groupBy("user_id").agg(F.count("*").alias("n"))
+        sinks.publish_rows(batch, path)
+    return sinks.read_published(spark, path).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 _LINES = f"""SELECT user_id, {month('txn_date')} AS month, category_name, {r('sum(amount)')} AS recommended FROM L

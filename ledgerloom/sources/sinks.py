@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_key
 from ..functions.text import search
 from ..schema import LEDGER, rnd
+from ..session import checkpointed
 
 HASH_KEY = ["user_id", "import_hash"]
 
@@ -75,34 +77,115 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getName()) for f in fs.listStatus(where)) if fs.exists(where) else []
 
 
-def _created(spark: SparkSession, path: str) -> bool:
+def names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of a folder's folders; none where it doesn't exist."""
     fs, where = _files(spark, path)
-    return fs.createNewFile(where)
+    found = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n[len(prefix) :] for n in found if n.startswith(prefix))
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published version of a ledger, which may be empty."""
-    newest = _numbers(spark, f"{path}/published")[-1]
-    return spark.read.schema(f"{LEDGER}, month STRING").parquet(f"{path}/versions/{newest:08d}").drop("month")
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a folder's versions, in order."""
+    return sorted(int(v) for v in names(spark, path, "version="))
 
 
-def publish(ledger: DataFrame, path: str) -> DataFrame:
-    """Write a new version of a ledger aside, then publish it by creating its marker; return it.
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _files(spark, path)
+    fs.delete(where, True)
+
+
+class Overtaken(RuntimeError):
+    """Another writer published the version that this one was to be."""
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """The number of the newest commit of a ledger, -1 without one."""
+    return max(_numbers(spark, f"{path}/commits"), default=-1)
+
+
+def _read_parts(spark: SparkSession, parts: dict[str, str]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(*sorted(parts.values()))
+
 
-    Creating one empty file is a single step: a reader finds the whole version or the one before.
-    A version whose writer failed has no marker and is never read. A writer that another one has
-    overtaken meanwhile fails, as it worked on an old version.
+def _source(spark: SparkSession, path: str, number: int) -> str:
+    """The attempt whose list of parts a commit made current."""
+    fs, where = _files(spark, f"{path}/commits/{number:08d}")
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def read_published(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The newest published version of a ledger (or an older one), which may be empty."""
+    return _read_parts(spark, parts(spark, path, number))
+
+
+def parts(spark: SparkSession, path: str, number: int | None = None) -> dict[str, str]:
+    """Month and folder of each part of a version, the newest by default."""
+    number = newest(spark, path) if number is None else number
+    if number < 0:
+        return {}
+    listed = spark.read.schema("month STRING, folder STRING").json(f"{path}/lists/{_source(spark, path, number)}")
+    return {r["month"]: r["folder"] for r in listed.collect()}  # a row for each month of the accepted history
+
+
+def publish(ledger: DataFrame, path: str, based_on: int | None = None, months: list[str] | None = None) -> DataFrame:
+    """Write a new version of a ledger aside, then publish it by one step; return it.
+
+    A version is a list of month folders. With ``months``, ``ledger`` holds the rows of these months
+    only, and the new version shares the other folders with version ``based_on`` (the newest by
+    default). The step is to create the file ``commits/<based_on + 1>``, which holds the name of the
+    list: it exists or it doesn't, so a reader finds a whole version or the one before, and of two
+    writers that start from one version the second fails with ``Overtaken`` and has changed nothing.
+    The file system must create a file only if there is none in one step, as HDFS, local and most
+    cloud stores' connectors with conditional writes do.
     """
     spark = ledger.sparkSession
-    before = _numbers(spark, f"{path}/published")
-    number = max([-1, *_numbers(spark, f"{path}/claimed")]) + 1
-    while not _created(spark, f"{path}/claimed/{number:08d}"):
-        number += 1
-    write_ledger(ledger, f"{path}/versions/{number:08d}", "error")
-    if _numbers(spark, f"{path}/published") != before:
-        raise RuntimeError(f"another version of {path} was published meanwhile")
-    _created(spark, f"{path}/published/{number:08d}")
-    return read_published(spark, path)
+    based_on = newest(spark, path) if based_on is None else based_on
+    attempt = uuid.uuid4().hex
+    folder = f"{path}/data/{attempt}"
+    write_ledger(ledger, folder, "error")
+    written = {m: f"{folder}/month={m}" for m in names(spark, folder, "month=")}
+    kept = {} if months is None else {m: f for m, f in parts(spark, path, based_on).items() if m not in months}
+    listed = spark.createDataFrame(sorted({**kept, **written}.items()), "month STRING, folder STRING")
+    listed.coalesce(1).write.json(f"{path}/lists/{attempt}")
+    fs, where = _files(spark, f"{path}/commits/{based_on + 1:08d}")
+    try:
+        stream = fs.create(where, False)
+    except Exception as error:  # the file system's own "already exists", wrapped by the gateway
+        if fs.exists(where):
+            raise Overtaken(f"version {based_on + 1} of {path} was published meanwhile") from error
+        raise
+    try:
+        stream.write(bytearray(attempt, "ascii"))
+    finally:
+        stream.close()
+    return read_published(spark, path, based_on + 1)
+
+
+def publish_rows(batch: DataFrame, path: str, order: str = "txn_key", tries: int = 5) -> DataFrame:
+    """Insert-or-ignore a batch into the published ledger, all or nothing; return the new version.
+
+    Only the months the new rows fall into are written. A writer that was overtaken works out its
+    new rows again from the newer version.
+    """
+    spark = batch.sparkSession
+    for left in reversed(range(tries)):
+        base = newest(spark, path)
+        held = parts(spark, path, base)
+        before = _read_parts(spark, held)
+        added = checkpointed(new_rows(batch, before, order).select(*before.columns))
+        months = [r[0] for r in added.select(month_key("txn_date")).distinct().collect()]  # a row a month
+        touched = _read_parts(spark, {m: f for m, f in held.items() if m in months})
+        try:
+            return publish(touched.unionByName(added), path, base, months)
+        except Overtaken:
+            if not left:
+                raise
 
 
 def append_ledger(spark: SparkSession, path: str, batch: DataFrame, order: str = "txn_key") -> None:
