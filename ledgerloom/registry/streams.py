@@ -39,14 +39,28 @@ def _(spark, sf):
     return stored.groupBy("user_id").agg(F.count("*").alias("n"), rnd(F.sum("amount")).alias("total"))
 
 
+@register(
+    "st_ingest_recent",
+    f"""WITH {E} SELECT user_id, count(*) AS n, {r('sum(amount)')} AS total FROM E GROUP BY ALL""",
+)
+def _(spark, sf):
+    """The bounded variant: the slices reach back less than the delay, so nothing is left out."""
+    rows = _stream(spark, sf).drop("ts")
+    doubled = rows.unionByName(rows)
+    ledger = scratch_path(spark, "ledger")
+    jobs.ingest_recent(doubled, ledger, scratch_path(spark, "state"), "400 days").awaitTermination()
+    stored = spark.read.schema(jobs._with_batch(doubled)).parquet(ledger)
+    return stored.groupBy("user_id").agg(F.count("*").alias("n"), rnd(F.sum("amount")).alias("total"))
+
+
 _TOTALS = f"""MT AS (SELECT user_id, {month('txn_date')} AS month, category_name, sum(amount) AS spent FROM E
   WHERE txn_type = 'DEBIT' GROUP BY ALL)"""
 
 
 @register("st_month_totals", f"WITH {E}, {_TOTALS} SELECT user_id, month, category_name, {r('spent')} AS spent FROM MT")
 def _(spark, sf):
-    path = scratch_path(spark, "daily")
-    jobs.write_daily(_stream(spark, sf), path, scratch_path(spark, "state")).awaitTermination()
+    path = scratch_path(spark, "totals")
+    jobs.write_totals(_stream(spark, sf), path, scratch_path(spark, "state")).awaitTermination()
     return jobs.month_totals(spark, path)
 
 
@@ -67,6 +81,6 @@ def _(spark, sf):
     )
     alerts = scratch_path(spark, "alerts")
     jobs.write_alerts(
-        _stream(spark, sf), budget, scratch_path(spark, "daily"), alerts, scratch_path(spark, "state")
+        _stream(spark, sf), budget, scratch_path(spark, "totals"), alerts, scratch_path(spark, "state")
     ).awaitTermination()
     return spark.read.schema(jobs.ALERT).parquet(alerts).select("user_id", "month", "category_name", "level")

@@ -17,32 +17,86 @@ from ..functions.dates import date_reject
 from ..operators.spend import is_spend
 from ..params import DEFAULTS, Params
 from ..schema import rnd
+from ..session import checkpointed
 from ..sources import sinks
 
 
+#: Parts of a month's keys in the index of imported rows.
+KEY_PARTS = 8
+
+
 def ingest(
-    rows: DataFrame, ledger_path: str, checkpoint: str, as_of: dt.date, params: Params = DEFAULTS
+    rows: DataFrame, ledger_path: str, checkpoint: str, as_of: dt.date, params: Params = DEFAULTS, dated: bool = True
 ) -> StreamingQuery:
     """Append new ledger rows of a stream (user_id, txn_date, description, amount,
     txn_type, category_name, import_hash, txn_key).
 
-    History is longer than any watermark, so duplicates are looked up in the
-    table itself. Each batch replaces its own directory, so a replayed batch
-    writes the same files again.
+    History is longer than any watermark, so duplicates are looked up in an index of the keys next
+    to the ledger, dealt by month and part of the key's hash. A batch reads the months and parts
+    that its own rows fall into and nothing else. With ``dated``, equal keys have equal dates, as
+    those of statements and messages do; without it the month is left out of the index, and a batch
+    reads its parts of the whole history. Each batch replaces its own directories, so a replayed
+    batch writes the same files again.
     """
     out_of_range = date_reject("txn_date", as_of, params)
+    index = f"{ledger_path}-keys"
+    parts = KEY_PARTS if dated else KEY_PARTS * 128
+    key_month = F.date_format("txn_date", "yyyy-MM") if dated else F.lit("all")
+    key_part = F.pmod(F.xxhash64(*sinks.HASH_KEY), F.lit(parts)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = sinks.first_of_batch(batch.filter(out_of_range.isNull()), "txn_key")
-        before = spark.read.schema(_with_batch(batch)).parquet(ledger_path).filter(F.col("batch") < batch_id)
-        new = fresh.join(before.select("user_id", "import_hash"), ["user_id", "import_hash"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        fresh = fresh.withColumns({"key_month": key_month, "key_part": key_part})
+        known = _known_keys(spark, index, fresh, batch_id)
+        new = fresh.join(known, sinks.HASH_KEY, "left_anti")
+        new.drop("key_month", "key_part").write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        # From the rows just written, so that ledger and index agree; rows without a key have none to look up.
+        written = spark.read.schema(batch.schema).parquet(f"{ledger_path}/batch={batch_id}").filter("import_hash IS NOT NULL")
+        keys = written.select(*sinks.HASH_KEY, key_month.alias("key_month"), key_part.alias("key_part"), F.lit(batch_id).alias("version"))
+        _overwrite(keys.repartition("key_month", "key_part"), index, ["key_month", "key_part", "version"])
 
     _prepare(rows.sparkSession, rows, ledger_path)
     return _start(rows, write, "append", checkpoint)
 
 
+KEYS = "user_id BIGINT, import_hash STRING"
+
+
+def _known_keys(spark: SparkSession, index: str, rows: DataFrame, batch_id: int) -> DataFrame:
+    """Keys of earlier batches in the index folders that ``rows`` touch."""
+    # At most a row for each month of the accepted history and part.
+    touched = rows.filter("import_hash IS NOT NULL").select("key_month", "key_part").distinct().collect()
+    folders = [f"{index}/key_month={t['key_month']}/key_part={t['key_part']}" for t in touched]
+    found = [f"{f}/version={v}" for f in folders for v in sinks.versions(spark, f) if v < batch_id]
+    return spark.read.schema(KEYS).parquet(*found) if found else spark.createDataFrame([], KEYS)
+
+
+def ingest_recent(rows: DataFrame, ledger_path: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
+    """The bounded variant: duplicates are known for ``delay`` of event time, in Spark's own state; no index.
+
+    A row that comes more than ``delay`` behind the newest one is left out, and a duplicate that
+    comes later than that is taken for new. Null keys are no duplicates of each other.
+    """
+    timed = rows.withColumns(
+        {"event_time": F.col("txn_date").cast("timestamp"), "event_key": F.coalesce("import_hash", F.concat(F.lit("none-"), "txn_key"))}
+    )
+    once = timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["user_id", "event_key"])
+    return _start(once.drop("event_time", "event_key"), _append(ledger_path), "append", checkpoint)
+
+
+def _append(path: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def _overwrite(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Write ``rows`` over the folders of ``by`` they fall into; other folders stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def _with_batch(df: DataFrame) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
 
@@ -62,76 +116,110 @@ def _start(stream: DataFrame, write, mode: str, checkpoint: str) -> StreamingQue
     )
 
 
-def daily_totals(rows: DataFrame) -> DataFrame:
-    """Spending per (account, month, day, category) of ledger rows."""
+# --- Totals and alerts: one keyed state, a folder for each month ----------------------
+
+STATE = "user_id BIGINT, category_name STRING, spent DECIMAL(28,2), warned_at BIGINT, critical_at BIGINT, month STRING, version BIGINT"
+KEY = ["user_id", "month", "category_name"]
+
+
+def batch_totals(rows: DataFrame) -> DataFrame:
+    """Spending per (account, month, category) of ledger rows."""
     return (
         rows.filter(is_spend() & F.col("category_name").isNotNull())
-        .groupBy("user_id", F.date_format("txn_date", "yyyy-MM").alias("month"), F.col("txn_date").alias("day"), "category_name")
-        .agg(F.sum("amount").cast("decimal(28,2)").alias("amount"))
+        .groupBy("user_id", F.date_format("txn_date", "yyyy-MM").alias("month"), "category_name")
+        .agg(F.sum("amount").cast("decimal(28,2)").alias("added"))
     )
 
 
-def _add_daily(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Store what a batch adds to its days. A replayed batch writes its own directory again.
+def read_state(spark: SparkSession, path: str, months: list[str] | None = None, before: int | None = None) -> DataFrame:
+    """The newest version of each month (of ``months`` only, if given), of batches before ``before``."""
+    if months is None:
+        months = sinks.names(spark, path, "month=")
+    found = []
+    for m in months:
+        held = [v for v in sinks.versions(spark, f"{path}/month={m}") if before is None or v < before]
+        found += [f"{path}/month={m}/version={held[-1]}"] if held else []
+    if not found:
+        return spark.createDataFrame([], STATE)
+    return spark.read.schema(STATE).option("basePath", path).parquet(*found)
 
-    Sums of a day are added up by the reader, so a row counts however late it comes, and no state
-    grows with the history.
-    """
-    daily_totals(batch).write.mode("overwrite").partitionBy("month").parquet(f"{path}/batch={batch_id}")
 
+def _advance(batch: DataFrame, batch_id: int, path: str, budget: DataFrame | None, params: Params) -> list[str]:
+    """Add a batch to the state of the months it touches; return these.
 
-def write_daily(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Day sums of each batch in a directory of its own, by month."""
+    A month's state is one row for each (account, category): the running sum, and the batch that
+    raised each level. A batch reads the newest earlier version of its months and writes its own, so
+    the work follows the months it touches, not the history, however late its rows come. A replay
+    starts from the same versions. Versions older than those are deleted.
+    """
+    spark = batch.sparkSession
+    # The batch runs once: what it adds is stored and read back.
+    delta = checkpointed(batch_totals(batch))
+    months = [r["month"] for r in delta.select("month").distinct().collect()]  # at most the months of the accepted history
+    if not months:
+        return []
+    old = read_state(spark, path, months, batch_id).drop("version")
+    both = old.withColumn("added", F.lit(None).cast("decimal(28,2)")).unionByName(
+        delta.withColumns({"spent": F.lit(None).cast("decimal(28,2)"), "warned_at": F.lit(None).cast("long"), "critical_at": F.lit(None).cast("long")})
+    )
+    state = both.groupBy(*KEY).agg(
+        (F.coalesce(F.sum("spent"), F.lit(0)) + F.coalesce(F.sum("added"), F.lit(0))).cast("decimal(28,2)").alias("spent"),
+        F.max("warned_at").alias("warned_at"), F.max("critical_at").alias("critical_at"), (F.count("added") > 0).alias("touched"),
+    )
+    if budget is not None:
+        lines = budget.filter("recommended > 0").select(*KEY, "recommended")
+        state = state.join(lines, KEY, "left")
+        spent = rnd("spent")
+        used = rnd(spent / F.col("recommended") * 100, 1)
+        now = F.lit(batch_id).cast("long")
+        state = state.withColumns(
+            {
+                "warned_at": F.coalesce("warned_at", F.when(F.col("touched") & (used >= params.nudge_pct), now)),
+                "critical_at": F.coalesce("critical_at", F.when(F.col("touched") & (spent >= F.col("recommended")), now)),
+            }
+        ).drop("recommended")
+    _overwrite(state.drop("touched").withColumn("version", F.lit(batch_id).cast("long")).hint("rebalance", "month"), path, ["month", "version"])
+    for m in months:
+        folder = f"{path}/month={m}"
+        needed = max([v for v in sinks.versions(spark, folder) if v < batch_id], default=batch_id)
+        for v in sinks.versions(spark, folder):
+            if v < needed:
+                sinks.remove(spark, f"{folder}/version={v}")
+    return months
+
+
+def write_totals(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the running sum of every (account, month, category); at most two versions a month are stored."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _add_daily(batch, batch_id, path)
+        _advance(batch, batch_id, path, None, DEFAULTS)
 
     return _start(rows, write, "append", checkpoint)
 
 
-DAILY = "user_id BIGINT, day DATE, category_name STRING, amount DECIMAL(28,2), batch BIGINT, month STRING"
-
-
 def month_totals(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
-    """user, month, category, spent from the written day sums; of ``months`` only, if given."""
-    daily = spark.read.schema(DAILY).parquet(path)
-    if months is not None:
-        daily = daily.filter(F.col("month").isin(months))
-    return daily.groupBy("user_id", "month", "category_name").agg(rnd(F.sum("amount")).alias("spent"))
+    """user, month, category, spent from the state; of ``months`` only, if given."""
+    return read_state(spark, path, months).select(*KEY, rnd("spent").alias("spent"))
 
 
 def write_alerts(
-    rows: DataFrame, budget: DataFrame, daily_path: str, path: str, checkpoint: str, params: Params = DEFAULTS
+    rows: DataFrame, budget: DataFrame, state_path: str, path: str, checkpoint: str, params: Params = DEFAULTS
 ) -> StreamingQuery:
-    """Raise each budget threshold once per (account, month, category).
+    """Raise each budget threshold once per (account, month, category) of the budget lines
+    (user_id, month, category_name, recommended).
 
-    After every batch the touched months are compared with the budget lines
-    (user_id, month, category_name, recommended); a level raised by an earlier
-    batch is not raised again. The batch itself runs once: what it touched is
-    read back from the directory it wrote, and only the files of the touched
-    months (at most a row for each month of the accepted history) are read.
+    The level that a key has reached is part of its state, so what earlier batches raised is never
+    read again. The alerts of a batch are the levels that its version of the state says it raised.
     """
-    keys = ["user_id", "month", "category_name"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _add_daily(batch, batch_id, daily_path)
-        mine = spark.read.schema(DAILY).parquet(daily_path).filter(F.col("batch") == batch_id)
-        touched = mine.select(*keys).distinct()
-        months = [r["month"] for r in mine.select("month").distinct().collect()]
-        spent = month_totals(spark, daily_path, months).join(touched, keys, "left_semi")
-        used = rnd(F.col("spent") / F.col("recommended") * 100, 1)
-        levels = F.array(
-            F.when(F.col("used") >= params.nudge_pct, F.lit("warning")),
-            F.when(F.col("spent") >= F.col("recommended"), F.lit("critical")),
-        )
-        reached = (
-            spent.join(budget.filter("recommended > 0"), keys)
-            .withColumn("used", used)
-            .select(*keys, F.explode(F.filter(levels, lambda x: x.isNotNull())).alias("level"))
+        months = _advance(batch, batch_id, state_path, budget, params)
+        state = read_state(spark, state_path, months) if months else spark.createDataFrame([], STATE)
+        level = F.array(
+            F.when(F.col("warned_at") == batch_id, F.lit("warning")), F.when(F.col("critical_at") == batch_id, F.lit("critical"))
         )
-        raised = spark.read.schema(ALERT).parquet(path).filter((F.col("batch") < batch_id) & F.col("month").isin(months))
-        new = reached.join(raised.drop("batch"), [*keys, "level"], "left_anti")
+        new = state.select(*KEY, F.explode(F.filter(level, lambda x: x.isNotNull())).alias("level"))
         new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     empty = rows.sparkSession.createDataFrame([], ALERT).drop("batch")

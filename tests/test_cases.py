@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
-from ledgerloom.models import evaluation, mllib, naive_bayes
+from ledgerloom.models import evaluation, naive_bayes, selection
 from ledgerloom.operators import classify, cycles, forecast, insights, matching, receipts, recurring, spend
 from ledgerloom.plans import budget as bd
 from ledgerloom.plans import pipeline
@@ -456,9 +456,9 @@ def test_naive_bayes_and_selection(spark):
     model = naive_bayes.fit(frame.withColumnRenamed("row_id", "doc_id"))
     said = model.predict(frame).select(F.col("category_name").alias("y"), F.col("predicted_category").alias("pred"))
     assert evaluation.macro_score(said) >= 0.85
-    chosen, fitted = mllib.train(frame, trees=5, depth=4)
+    chosen, fitted = selection.train(frame, trees=8)
     assert chosen.f1 >= 0.85 and chosen.folds == 5 and fitted.predict(frame.limit(1)).first()["predicted_category"]
-    assert mllib.gate(frame.limit(5)).algorithm is None
+    assert selection.gate(frame.limit(5)).algorithm is None
 
 
 # --- Questions -----------------------------------------------------------------------------------------------
@@ -563,7 +563,7 @@ def test_late_stream_rows_count(spark, tmp_path):
         ledger(spark, *[row(d, "shop", a, category="Shopping") for d, a in days]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = ledger(spark, row("2026-06-01", "shop", 1)).schema
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.write_daily(stream(), str(tmp_path / "daily"), str(tmp_path / "state")).awaitTermination()
+    jobs.write_totals(stream(), str(tmp_path / "daily"), str(tmp_path / "state")).awaitTermination()
     totals = {r["month"]: r["spent"] for r in jobs.month_totals(spark, str(tmp_path / "daily")).collect()}
     assert totals == {"2026-06": 15.0, "2026-04": 20.0, "2025-04": 100.0}
     budget = spark.createDataFrame([(1, "2025-04", "Shopping", 100.0), (1, "2026-06", "Shopping", 90.0)], "user_id BIGINT, month STRING, category_name STRING, recommended DOUBLE")
