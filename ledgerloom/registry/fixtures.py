@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import category_dim  # noqa: F401  (re-exported for the query modules)
@@ -32,8 +32,8 @@ def by_number(c: Column, values: dict, default=None) -> Column:
     return out
 
 
-def ledger(spark: SparkSession, sf: str, flat: bool = False, named: bool = False) -> DataFrame:
-    """Line items as ledger rows; accounts are the customers' nations."""
+def ledger(spark: SparkSession, sf: str, flat: bool = False, named: bool = False, both: bool = False) -> DataFrame:
+    """Line items as ledger rows; accounts are the customers' nations. ``both``: with flat_amount, the amount of ``flat``."""
     nation = table(spark, sf, "orders").join(
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     ).select("o_orderkey", F.col("c_nationkey").cast("bigint").alias("user_id"))
@@ -86,6 +86,7 @@ def ledger(spark: SparkSession, sf: str, flat: bool = False, named: bool = False
         by_number(number, {1: "user", 2: "model", 3: "rule"}, "default").alias("category_source"),
         F.lit(None).cast("double").alias("category_confidence"),
         origin.alias("import_hash"),
+        *([F.col("p_retailprice").cast(MONEY).alias("flat_amount")] if both else []),
     )
 
 
@@ -232,8 +233,8 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """One printed receipt per line item."""
+def receipts(spark: SparkSession, sf: str, numbered: bool = False) -> DataFrame:
+    """One printed receipt per line item; ``numbered``: equal keys are told apart by a number."""
     quantity = F.col("l_quantity").cast("int")
     unit = F.col("p_retailprice").cast(MONEY)
     total = (unit * quantity).cast(MONEY)
@@ -250,6 +251,9 @@ def receipts(spark: SparkSession, sf: str) -> DataFrame:
     )
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
     keys = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    if numbered:
+        place = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_quantity", "l_extendedprice"))
+        keys.append(place.cast("string"))
     return spread(table(spark, sf, "lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", *keys).alias("txn_key"),
         F.concat_ws(
@@ -283,57 +287,59 @@ def receipt_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Question templates, assigned to the turns of the given conversations.
+# Questions of every kind, one for each turn of the given conversations.
 QUESTIONS = (
-    "How much did I spend on transport?",
-    "and last month?",
-    "How much do I have left?",
-    "Can I afford K800?",
-    "compare groceries with last month",
-    "My biggest expenses this cycle",
-    "Forecast for next month",
-    "How are my goals?",
-    "My subscriptions",
-    "When is payday?",
-    "show my recent transactions",
-    "How many times did I go to blue anvil this year?",
-    "daily average this cycle",
-    "income last month",
+    "What have I spent on transport?",
+    "and for last month?",
+    "How much is remaining in my budget?",
+    "Could I afford something for K800?",
+    "compare my groceries to last month",
+    "largest expenses of this cycle",
+    "what do you predict for next month",
+    "are my goals on track?",
+    "list my subscriptions",
+    "when do I get paid?",
+    "latest transactions please",
+    "How often did I go to blue anvil this year?",
+    "what is my daily average in this cycle",
+    "what income came in last month",
     "help",
-    "tell me a joke",
-    "what if I cancel red bolt?",
-    "if I cut dining out by K300",
-    "where can I cut back?",
-    "how much can I spend per day until payday?",
-    "mtn momo vs airtel money this month",
-    "how much cash did I spend this week?",
-    "what did I buy at green gear?",
-    "what about groceries?",
-    "what if I buy a phone for K2500?",
-    "spent in the last 3 months",
-    "spent in october 2000",
-    "can I afford 2.5k for rent",
-    "afford 1,200.50",
-    "how much did I spend yesterday",
-    "dining out vs last cycle",
-    "compare with last month",
-    "spent in may",
-    "may I ask how much I spent last week",
-    "how much did I spend on groceries with cash",
-    "top shops this year",
-    "food this month",
-    "how much did I spend via airtel money",
-    "average per day since payday",
-    "what if I save K500 a month",
+    "sing me a song",
+    "what if I stop going to red bolt?",
+    "if I reduce dining out by K300",
+    "am I overspending anywhere?",
+    "what can I spend a day until payday?",
+    "airtel money and mtn this month",
+    "how much cash went out this week?",
+    "what did I buy from green gear?",
+    "how about groceries?",
+    "what if I get a phone for K2500?",
+    "spent over the past 3 months",
+    "what I paid in october 2000",
+    "can I afford rent of 2.5k",
+    "is 1,200.50 something I can afford",
+    "what did yesterday cost?",
+    "dining out versus last cycle",
+    "compare against last month",
+    "paid in may",
+    "may I know how much I spent last week",
+    "how much did groceries paid in cash come to",
+    "highest shops this year",
+    "food so far",
+    "what was spent via airtel money",
+    "daily average since payday",
+    "what if I put aside K500 a month",
 )
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations' own texts, and next to each conversation one of as many turns with known questions.
+
+    The given conversations have negative numbers here, so that the two don't mix.
+    """
     known = F.array(*[F.lit(q) for q in QUESTIONS])
     index = ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(QUESTIONS)).cast("int")
-    return table(spark, sf, "conversations").select(
-        "conv_id",
-        "turn",
-        (F.col("conv_id") % 25).alias("user_id"),
-        F.get(known, index).alias("text"),
-    )
+    rows = table(spark, sf, "conversations")
+    user = (F.col("conv_id") % 25).alias("user_id")
+    asked = rows.select("conv_id", "turn", user, F.get(known, index).alias("text"))
+    return asked.unionByName(rows.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", user, "text"))
