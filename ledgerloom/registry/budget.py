@@ -9,6 +9,7 @@ from ..operators import cycles, recurring, spend
 from ..operators import forecast as fc
 from ..plans import budget as bd
 from ..schema import rnd
+from ..session import stored
 from . import fixtures as fx
 from . import register
 from .fixtures import AS_OF
@@ -58,7 +59,8 @@ def _(spark, sf):
 
 def parts(spark, sf, ledger=None):
     """Budget of the current month with the frames it was made from."""
-    ledger = fx.ledger(spark, sf) if ledger is None else ledger
+    # A ledger is a stored table in use: the tables behind it are joined and read once.
+    ledger = stored(fx.ledger(spark, sf), "ledger") if ledger is None else ledger
     category, profile = fx.category_dim(spark), fx.profile(spark, sf)
     spent = spend.monthly_spend(ledger, category)
     goals = bd.goal_waterfall(fx.goals(spark, sf), pool(ledger), AS_OF)
@@ -140,8 +142,10 @@ AL AS (SELECT user_id, CASE status WHEN 'over' THEN 'critical' ELSE 'warning' EN
 
 
 def _alerts(spark, sf):
-    made, _, _, ledger, category, profile = parts(spark, sf)
-    charges = recurring.recurring_summary(recurring.recurring(fx.ledger(spark, sf, flat=True)))
+    both = stored(fx.ledger(spark, sf, both=True), "ledger")
+    made, _, _, ledger, category, profile = parts(spark, sf, both.drop("flat_amount"))
+    flat = both.withColumn("amount", F.col("flat_amount")).drop("flat_amount")
+    charges = recurring.recurring_summary(recurring.recurring(flat))
     return bd.alerts(made, charges, cycles.cycle_profile(ledger, category, profile, AS_OF))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import forecast as fc
@@ -119,6 +121,27 @@ def _(spark, sf):
     )
 
 
+@register(
+    "fc_refresh",
+    f"""WITH {L}, {C}, {FC} SELECT user_id, category_name, method, {r('amount')} AS amount, {r('err')} AS cv_error, n AS months_used
+    FROM F_FC""",
+)
+def _(spark, sf):
+    """Forecasts stored for a ledger in which every fifth account lacks its last months, then brought up to the whole."""
+    from ..plans import forecasts
+    from ..session import scratch_path, stored
+
+    path, category = scratch_path(spark, "forecasts"), fx.category_dim(spark)
+    ledger = stored(fx.ledger(spark, sf), "ledger")
+    early = ledger.filter((F.col("user_id") % 5 != 0) | (F.col("txn_date") < dt.date(2000, 6, 1)))
+    forecasts.refresh_forecasts(early, category, path, AS_OF)
+    forecasts.refresh_forecasts(ledger, category, path, AS_OF)
+    made = forecasts.stored_forecasts(spark, path)
+    return made.select(
+        "user_id", "category_name", "method", "amount", "cv_error", F.size("months").cast("bigint").alias("months_used")
+    )
+
+
 BT = f"""{SER}, TR AS (SELECT user_id, category_name, y, idx, n - 1 AS n FROM SER WHERE n >= 3 AND idx < n - 1), {chain('TR', 'B_')},
 BL AS (SELECT f.user_id, f.category_name, f.method, f.amount AS predicted, s.y AS actual, {month('s.month')} AS test_month, s.n
   FROM B_FC f JOIN SER s ON s.user_id = f.user_id AND s.category_name = f.category_name AND s.idx = s.n - 1)"""
