@@ -146,3 +146,49 @@ def test_a_refresh_reads_only_the_accounts_that_changed(spark, tmp_path, monkeyp
     forecasts.refresh_forecasts(more, category, other, as_of)
     want = sorted((r.user_id, r.category_name, r.amount, r.method, r.months) for r in forecasts.stored_forecasts(spark, other).collect())
     assert found == want and {f[0] for f in found} == {1, 2, 3, 4, 6, 7}
+
+
+def greedy(edges):
+    """bank rows in order, each taking its best group that is not full."""
+    by_row = {}
+    for e in edges:
+        by_row.setdefault((e["bank_order"], e["bank_key"]), []).append(e)
+    used, out = {}, set()
+    for key in sorted(by_row):
+        for e in sorted(by_row[key], key=lambda e: (e["pref"], e["group_id"])):
+            if used.get(e["group_id"], 0) < e["capacity"]:
+                used[e["group_id"]] = used.get(e["group_id"], 0) + 1
+                out.add((e["bank_key"], e["group_id"], used[e["group_id"]]))
+                break
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 40, 0])
+def test_merge_in_parts_is_the_greedy_choice(spark, monkeypatch, limit):
+    """Swept parts, parts settled in rounds, and both at once."""
+    import random
+
+    from ledgerloom.operators import matching
+
+    monkeypatch.setattr(matching, "PART_EDGES", limit)
+    rng = random.Random(limit)
+    day = lambda: dt.date(2026, 1, 1) + dt.timedelta(days=rng.choice([0, 1, 2, 3, 5, 40, 41, 43, 90]))
+    bank = [(rng.randrange(3), f"b{k:03d}", rng.randrange(90), day(), Decimal(rng.choice([10, 10, 11, 250, 255]))) for k in range(150)]
+    mail = [
+        (rng.randrange(3), f"m{k:03d}", day(), "shop", Decimal(rng.choice([10, 11, 250, 252, 260])), "DEBIT", False, False, "Shopping", "default", None, rng.choice(["email-", "email-fx-"]) + str(k))
+        for k in range(90)
+    ]
+    left = spark.createDataFrame(bank, "user_id BIGINT, bank_key STRING, bank_order INT, txn_date DATE, amount DECIMAL(18,2)")
+    edges, _ = matching.merge_candidates(left, spark.createDataFrame(mail, LEDGER))
+    listed = [r.asDict(recursive=False) | {"pref": tuple(r.pref)} for r in edges.collect()]
+    assert len(listed) > 100
+    found = {(r.bank_key, r.group_id, r.place) for r in matching.one_to_one(edges).collect()}
+    assert found == greedy(listed)
+
+
+def test_merge_without_candidates(spark):
+    from ledgerloom.operators import matching
+
+    left = spark.createDataFrame([], "user_id BIGINT, bank_key STRING, bank_order INT, txn_date DATE, amount DECIMAL(18,2)")
+    edges, _ = matching.merge_candidates(left, spark.createDataFrame([], LEDGER))
+    assert matching.one_to_one(edges).collect() == []
