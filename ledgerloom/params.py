@@ -13,6 +13,7 @@ class Params:
     future_grace_days: int = 3
     max_amount: float = 100_000_000.0
     max_file_rows: int = 20_000
+    max_file_bytes: int = 5 * 1024 * 1024
     currency: str = "ZMW"
     # Salary detection.
     salary_tolerance: float = 0.15

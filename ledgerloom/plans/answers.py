@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import next_payday
 from ..functions.text import normalise
-from ..operators import ranges, recurring
-from ..operators.spend import is_debit, not_withdrawal
+from ..operators import blocks, ranges, recurring
 from ..operators.views import rank_latest
 from ..schema import MONEY, rnd
 from ..session import checkpointed
@@ -130,27 +129,10 @@ def _channels(q: DataFrame, d: Desk) -> DataFrame:
 
 
 def _top(q: DataFrame, d: Desk) -> DataFrame:
-    """The three largest categories, or places, of each distinct (account, period) asked.
-
-    An account has only so many distinct periods asked about, so a day's sums
-    are repeated a bounded number of times.
-    """
+    """The three largest categories, or places, of each distinct (account, period) asked."""
     asks = _asks(q).withColumn("by_place", F.col("text").rlike(PLACES) | (F.size("categories") > 0))
-    spans = asks.select("user_id", "start", "end", "by_place", "categories").distinct()
-    debits = d.ledger.filter(is_debit() & not_withdrawal())
-    label = F.coalesce("category_name", F.lit("Uncategorised"))
-    daily = (
-        debits.select("user_id", "txn_date", "amount", label.alias("category"), "description")
-        .join(spans, "user_id")
-        .filter(F.col("txn_date").between(F.col("start"), F.col("end")))
-        .filter((F.size("categories") == 0) | F.array_contains("categories", F.col("category")))
-    )
-    span = ["user_id", "start", "end", "by_place", "categories"]
-    name = F.when(F.col("by_place"), F.col("description")).otherwise(F.col("category"))
-    groups = daily.groupBy(*span, name.alias("name")).agg(F.sum("amount").alias("total"))
-    grand = groups.groupBy(*span).agg(F.sum("total").alias("grand"))
-    top = rank_latest(groups, span, [F.col("total").desc(), F.col("name")], 3)
-    listed = top.groupBy(*span).agg(
+    span = list(blocks.SPAN)
+    listed = blocks.top_names(d.ledger, asks, 3).groupBy(*span).agg(
         F.array_join(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("position", "name", "total"))),
@@ -158,9 +140,10 @@ def _top(q: DataFrame, d: Desk) -> DataFrame:
             ),
             "; ",
         ).alias("listed"),
+        F.max("grand").alias("grand"),
         F.count("*").alias("n"),
     )
-    got = asks.join(grand, span, "left").join(listed, span, "left")
+    got = asks.join(listed, span, "left")
     return _shape(got, rnd(F.coalesce(F.col("grand").cast("double"), F.lit(0.0))), None, F.coalesce("n", F.lit(0)), F.col("listed"))
 
 
@@ -229,28 +212,9 @@ def _subscriptions(q: DataFrame, d: Desk) -> DataFrame:
 
 
 def _recent(q: DataFrame, d: Desk) -> DataFrame:
-    """The five newest matching rows of each distinct (account, subject, period) asked."""
+    """The five newest matching rows of each question."""
     asks = _since_ever(_asks(q), d.as_of)
-    spans = ranges.ask_subjects(asks).select("user_id", "subject", "start", "end").distinct()
-    any_ = F.lit(ranges.ANY)
-    name, wallet = F.coalesce("category_name", F.lit("")), ranges.channel("import_hash", "description")
-    keys = F.concat(
-        F.array(
-            ranges.subject_key(any_, any_), ranges.subject_key(any_, wallet),
-            ranges.subject_key(name, any_), ranges.subject_key(name, wallet),
-        ),
-        F.transform(F.array_distinct(ranges.phrases(normalise("description"))), ranges.merchant_subject),
-    )
-    rows = (
-        d.ledger.filter(is_debit() & not_withdrawal())
-        .select("user_id", "txn_key", "txn_date", "description", "amount", F.explode(keys).alias("subject"))
-        .join(spans, ["user_id", "subject"])
-        .filter(F.col("txn_date").between(F.col("start"), F.col("end")))
-    )
-    newest = [F.col("txn_date").desc(), F.col("txn_key").desc()]
-    latest = rank_latest(rows, ["user_id", "subject", "start", "end"], newest, 5).drop("position")
-    mine = ranges.ask_subjects(asks).join(latest, ["user_id", "subject", "start", "end"])
-    five = rank_latest(mine, ["ask_id"], newest, 5)
+    five = blocks.newest(d.ledger, asks, 5)
     listed = five.groupBy("ask_id").agg(
         F.count("*").alias("n"),
         F.sum("amount").alias("total"),
