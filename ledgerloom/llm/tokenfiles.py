@@ -7,28 +7,36 @@ closes at the first document end after ``BLOCK_IDS`` ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import huffman
 from .common import bounded_batches, ordered, scratch_path, stored
-from .units import UnitTable
+from .units import PACKED, UnitTable, take_slices
 
 END = 2
 BLOCK_IDS = 1 << 16
 #: Blocks are decoded together up to about so many ids.
 _TOGETHER = 1 << 20
+#: Texts are encoded together up to about so many bytes: each distinct word of them once.
+TOGETHER_BYTES = 1 << 22
+#: Ids of so many units are put together at once.
+_SLICES = 1 << 17
 
 #: White space as the tokenizer's pattern has it (Unicode's White_Space).
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"\t-\r {_WIDE}"
 #: Letters and marks of which the pattern's classes are certain.
 _LETTER, _MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-&(-/:-@\[-`{-~"
 #: Where the pattern can't reach over: words with the one space in front of them, and runs of white space.
@@ -38,8 +46,13 @@ _PARTS = re.compile(rf" ?+[{_LETTER}]++(?![^\x00-\x7f])| ?+[{_MARK}]++(?![^\x00-
 #: A part that the pattern takes as one.
 _ONE = re.compile(rf" ?[{_LETTER}]+| ?[{_MARK}]+|\n")
 #: White space that isn't one blank or line break between two other characters, and the character that marks a unit.
-_ODD = re.compile(rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\x00")
+_ODD = rf"[{_SPACE}][{_SPACE}]|[\t\x0b-\r{_WIDE}]|\x00|\A[ \n]|[ \n]\z"
 _MARKED = "\0"
+#: A unit of letters and marks alone; the kinds of its bytes (letters 1, marks 2, the line break 4).
+_SIMPLE = rf"\A[\x00\n]?[{_LETTER}{_MARK}]*\z"
+_KINDS = np.array([4 if b == 10 else 1 if b > 127 or chr(b).isalpha() else 2 if re.match(f"[{_MARK}]", chr(b)) else 0 for b in range(256)], np.uint8)
+#: Bytes behind a part and behind a unit, how many units go to the library as one, and how many such texts at once.
+_PART_END, _UNIT_END, _JOINED, _CALL = 0, 1, 32, 256
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -48,16 +61,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def units(text: str) -> list[str]:
-    """The units of a text: a word stands for itself behind a blank, one that begins with a line break or
-    a mark (left out) for itself alone."""
-    if not text:
-        return []
-    if _ODD.search(text) or text[0] in " \n" or text[-1] in " \n":
-        return [_MARKED + u for u in _UNITS.findall(text)]
-    found = text.replace("\n", " \n").split(" ")
-    found[0] = _MARKED + found[0]
-    return found
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units of texts that aren't odd, the place among them of each unit in turn, and how many
+    units each text has.
+
+    A word stands for itself behind a blank, one that begins with a line break or a mark (left out) for
+    itself alone.
+    """
+    texts = pc.binary_join_element_wise(pa.scalar(_MARKED, texts.type), texts, pa.scalar("", texts.type))
+    texts = pc.replace_substring(texts, "\n", " \n")
+    words = pc.split_pattern(texts, " ")
+    del texts
+    coded = words.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), words.value_lengths().to_numpy()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,10 +87,34 @@ def _byte_letters() -> dict[int, str]:
 KNOWN_PARTS = 120_000
 
 
+def _separable(model: dict, letters: list[str]) -> bool:
+    """Whether the model merges what stands between such letters as if it stood alone."""
+    if any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False
+    merged = set(chain.from_iterable(chain.from_iterable(model["merges"])))
+    return all(c in model["vocab"] and c not in merged for c in letters)
+
+
+def _joined(words: pa.Array) -> np.ndarray:
+    """The bytes of simple units, with a blank in front where one belongs, and of the ends of parts and units."""
+    if not len(words):
+        return np.zeros(0, np.uint8)
+    behind = pa.scalar(chr(_UNIT_END), words.type)
+    raw = pc.binary_join_element_wise(pa.scalar(" ", words.type), words, behind, pa.scalar("", words.type))
+    first, last = raw.offset, raw.offset + len(raw)
+    at = np.frombuffer(raw.buffers()[1], np.int64)
+    raw = np.frombuffer(raw.buffers()[2], np.uint8)[at[first] : at[last]]
+    alone = (raw == 0) | (raw == 10)
+    raw = raw[~(np.append(alone[1:], False) & (raw == 32)) & (raw != 0)]
+    kinds = _KINDS[raw]
+    return np.insert(raw, np.flatnonzero((kinds[:-1] | kinds[1:] == 3) | (kinds[:-1] == 4)) + 1, _PART_END)
+
+
 @lru_cache(maxsize=2)
-def _table(path: str) -> tuple[UnitTable, Callable[[str], list[int] | None]]:
-    """One tokenizer and table for a worker process, however many tasks it runs; and the ids of a text that
-    holds the string of an added token, which the library takes as a whole (None for other texts)."""
+def _table(path: str) -> tuple[Callable | None, UnitTable, list[str], Callable[[str], list[int]]]:
+    """One tokenizer and table for a worker process, however many tasks it runs: the ids of simple units and
+    their counts (None if the model doesn't allow for it), the table of other units, the strings of added
+    tokens, and the ids of a whole text, as which the library takes a text that holds one of them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -106,31 +146,71 @@ def _table(path: str) -> tuple[UnitTable, Callable[[str], list[int] | None]]:
                 found += ids
             yield found
 
-    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ends = [letters[_PART_END], letters[_UNIT_END]]
+    part_end, unit_end = map(tokenizer.model.token_to_id, ends)
+    codes = np.array([ord(letters[b]) for b in range(256)], "<u2")
+    # The same model with nothing around it.
+    merges = Tokenizer(tokenizer.model)
 
-    def whole(text: str) -> list[int] | None:
-        return tokenizer.encode(text, add_special_tokens=False).ids if any(a in text for a in added) else None
+    def simple(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = _joined(words)
+        cuts = np.flatnonzero(raw == _UNIT_END)[_JOINED - 1 :: _JOINED] + 1
+        texts = [t.tobytes().decode("utf-16-le") for t in np.split(codes[raw], cuts)]
+        # What the library returns takes much more memory than ids.
+        calls = (merges.encode_batch_fast(texts[k : k + _CALL], add_special_tokens=False) for k in range(0, len(texts), _CALL))
+        ids = np.fromiter(chain.from_iterable(e.ids for call in calls for e in call), PACKED)
+        kept = (ids != part_end) & (ids != unit_end)
+        return ids[kept], np.diff(np.cumsum(kept)[ids == unit_end], prepend=0)
 
-    return UnitTable(encode, 800_000), whole
+    with open(path, encoding="utf-8") as file:
+        joins = _separable(json.load(file)["model"], ends)
 
+    def whole(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
 
-def encode_batch(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return simple if joins else None, UnitTable(encode, 800_000), added, whole
+
+
+def encode_batch(texts: pa.Array | list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in order, and the offsets of each text's ids."""
-    table, whole = _table(path)
-    found, ends, special = [], [0], {}
-    for k, text in enumerate(texts):
-        ids = whole(text)
-        if ids is None:
-            found += units(text)
-        else:
-            special[k] = np.array(ids, np.int32)
-        ends.append(len(found))
-    ids, counts = table(found)
-    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])[ends]
-    if special:
-        parts = [special.get(k, ids[offsets[k] : offsets[k + 1]]) for k in range(len(texts))]
-        ids, offsets = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-    return ids, offsets
+    simple, table, added, whole = _table(path)
+    texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    texts = texts.fill_null("")
+    special = np.zeros(len(texts), bool)
+    for token in added:
+        special |= np.asarray(pc.match_substring(texts, token))
+    odd = np.asarray(pc.match_substring_regex(texts, _ODD)) & ~special
+    words, places, sizes = units(texts.filter(pa.array(~odd & ~special)))
+    others = [[_MARKED + u for u in _UNITS.findall(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+
+    # Distinct units, and behind them all of the odd texts: counts and starts of ids.
+    n = sum(map(len, others))
+    easy = np.zeros(len(words) + n, bool)
+    flat, counts = np.zeros(0, np.int32), np.zeros(len(easy), np.int64)
+    if simple and len(words):
+        easy[: len(words)] = np.asarray(pc.match_substring_regex(words, _SIMPLE))
+        flat, counts[easy] = simple(words.filter(pa.array(easy[: len(words)])))
+    hard = words.filter(pa.array(~easy[: len(words)])).to_numpy(zero_copy_only=False).tolist() + list(chain.from_iterable(others))
+    more, counts[~easy] = table(hard)
+    starts = np.zeros(len(easy), np.int64)
+    starts[easy] = np.cumsum(counts[easy]) - counts[easy]
+    starts[~easy] = len(flat) + np.cumsum(counts[~easy]) - counts[~easy]
+    flat = np.concatenate([flat, more])
+    places = np.concatenate([places, np.arange(len(words), len(easy))])
+    sizes = np.concatenate([sizes, np.array([len(o) for o in others], np.int64)])
+
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts[places])])[np.cumsum([0, *sizes])]
+    cuts = (places[k : k + _SLICES] for k in range(0, len(places), _SLICES))
+    ids = np.concatenate([flat[:0], *(take_slices(flat, starts[p], counts[p]) for p in cuts)])
+    if not (odd | special).any():
+        return ids, offsets
+    parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+    parts += [np.array(whole(t), np.int32) for t in texts.filter(pa.array(special)).to_pylist()]
+    # From plain, odd and special texts back to the order of the texts.
+    order = np.argsort(np.argsort(odd + 2 * special, kind="stable"))
+    parts = [parts[k] for k in order]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
@@ -138,15 +218,30 @@ def tokenize(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
     bounded_batches(docs.sparkSession)
     path = path or vocabulary_path()
 
-    def run(batches):
-        for batch in batches:
-            ids, offsets = encode_batch([t or "" for t in batch.column(1).to_pylist()], path)
-            rows = [np.append(ids[a:b], end) for a, b in zip(offsets[:-1], offsets[1:])]
+    def coded(held):
+        texts = pa.chunked_array([b.column(1).cast(pa.large_string()) for b in held]).combine_chunks()
+        ids, offsets = encode_batch(texts, path)
+        at = 0
+        for batch in held:
+            ends = offsets[at : at + len(batch) + 1]
+            at += len(batch)
+            rows = [np.append(ids[a:b], end) for a, b in zip(ends[:-1], ends[1:])]
             columns = [batch.column(0), pa.array([len(r) for r in rows], pa.int64())]
             columns.append(pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()))
             columns.append(pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "ids"])
 
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(1).nbytes
+            if size >= TOGETHER_BYTES:
+                yield from coded(held)
+                held, size = [], 0
+        if held:
+            yield from coded(held)
+
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary")
 

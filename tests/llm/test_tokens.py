@@ -42,6 +42,86 @@ def test_units_give_the_tokenizers_ids():
         assert ids[offsets[k] : offsets[k + 1]].tolist() == direct(text), repr(text)
 
 
+def agree(texts):
+    ids, offsets = tokenfiles.encode_batch(texts, tokenfiles.vocabulary_path())
+    assert len(offsets) == len(texts) + 1
+    for k, text in enumerate(texts):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == direct(text), repr(text)
+
+
+@pytest.mark.parametrize("joins", [True, False])
+def test_words_of_letters_and_marks_give_the_tokenizers_ids(monkeypatch, joins):
+    """Also next to the characters and letters that stand between them on their way to the library."""
+    if not joins:
+        monkeypatch.setattr(tokenfiles, "_separable", lambda *_: False)
+    tokenfiles._table.cache_clear()
+    rng = random.Random(9)
+    some = ["\x01", "\x01 ", "\x00", "Ā", "ā", "é", "ß", "×", "÷", "ÿ", "À", "'", "'s", ",", "...", "(", "\"", "—", "7", "word", "The", "\u0301", "\n", " ", " ", " "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(0, 30))) for _ in range(600)]
+    agree(texts + ["", "a", ",", "\n", "a\n,b.c d", "one\n\ntwo", "hi <|endoftext|>", "x" * 3000 + "," * 3000 + "é" * 3000])
+    agree([])
+    agree(["", ""])
+    agree(["<|endoftext|>"])
+    tokenfiles._table.cache_clear()
+
+
+def test_new_words_reach_the_library_together(monkeypatch):
+    import tokenizers
+
+    real, calls = tokenizers.Tokenizer, []
+
+    class Model:
+        def __init__(self, inner):
+            self.inner, self.token_to_id = inner, inner.token_to_id
+
+        def tokenize(self, text):
+            calls.append(text)
+            return self.inner.tokenize(text)
+
+    class Counted:
+        def __init__(self, model):
+            self.inner = real(model.inner)
+
+        @classmethod
+        def from_file(cls, path):
+            made = cls(Model(real.from_file(path).model))
+            made.inner = real.from_file(path)
+            return made
+
+        @property
+        def model(self):
+            return Model(self.inner.model)
+
+        def encode(self, text, **kw):
+            calls.append(text)
+            return self.inner.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            calls.extend(texts)
+            return self.inner.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    rng = random.Random(11)
+    words = {"".join(rng.choice("aeinrsté") for _ in range(9)) for _ in range(3000)}
+    text = ", ".join(sorted(words))
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    tokenfiles._table.cache_clear()
+    ids, _ = tokenfiles.encode_batch([text, text], tokenfiles.vocabulary_path())
+    tokenfiles._table.cache_clear()
+    assert ids.tolist() == real.from_file(tokenfiles.vocabulary_path()).encode(text, add_special_tokens=False).ids * 2
+    assert len(calls) < len(words) / 16
+
+
+def test_tokenize_in_groups_of_texts(spark, monkeypatch):
+    rows = list(enumerate(TEXTS)) + [(100 + k, f"number {k} of Ünits, " * (k % 7)) for k in range(90)]
+    for size in (1, 300, 1 << 24):
+        monkeypatch.setattr(tokenfiles, "TOGETHER_BYTES", size)
+        found = tokenfiles.tokenize(frame(spark, rows).coalesce(1)).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in found} == {d: direct(t) + [2] for d, t in rows}
+
+
 def test_token_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfiles, "BLOCK_IDS", 700)
     rows = list(enumerate(TEXTS, 5)) + [(3, "again"), (3, "again"), (None, "no id"), (-7, "first")]
