@@ -439,6 +439,29 @@ def test_rules(spark):
     assert names == ["Groceries", "Cash Withdrawal", "Transfers", None, None, "Dining Out"]
 
 
+def test_rules_see_only_their_words(spark):
+    """A text without its other words has the category that the patterns give the whole text."""
+    rng, known = random.Random(5), sorted(classify._rule_words())
+    others = ["foo", "123", "cash", "ca\u017fh", "Atm", "AGENT", "withdrawal", "pays", "x-1", "\u00e9", "bus.fare", "out"]
+    rows = [" ".join(rng.choice(known if rng.random() < 0.5 else others) for _ in range(rng.randint(0, 6))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in [*rows, None]], "description STRING").withColumn("text", text.normalise("description"))
+    plain = F.when(F.col("text") == "", None).when(F.coalesce("description", F.lit("")).rlike(classify.WITHDRAWAL), "Cash Withdrawal")
+    for pattern, name in classify.RULES:
+        plain = plain.when(F.col("text").rlike(pattern), name)
+    got = classify.with_rule_category(df, "ruled").withColumns({"plain": plain, "column": classify.rule_category("description")})
+    assert got.filter("not (ruled <=> plain) or not (column <=> plain)").count() == 0
+    assert got.filter("plain is not null").count() > 1000
+
+
+@pytest.mark.parametrize("name", ["ml_rule_category", "ml_rule_category_documents"])
+def test_rules_normalise_a_text_once(spark, name):
+    from ledgerloom import registry
+
+    registry.load()
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9") == 1
+
+
 def _labelled(spark):
     words = {"Groceries": "shoprite spar market", "Transport": "taxi fuel bus", "Housing": "rent landlord deposit"}
     rows = [
