@@ -628,3 +628,25 @@ def test_categories_with_many_parts(spark):
     assert {r.id: r.categories for r in found} == {**{k: [n] for k, n in enumerate(names)}, 9: [], 10: []}
     none = qa.with_categories(spark.createDataFrame(rows, "id int, text string"), "text", category.limit(0)).collect()
     assert all(r.categories == [] for r in none)
+
+
+def test_phrases_split_a_text_once(spark):
+    """No lambda over the words, which would split the text again for each of them."""
+    from ledgerloom.operators.ranges import phrases
+
+    df = spark.createDataFrame([("a b c d",), ("a",), ("",), (None,)], "d STRING")
+    got = df.select(phrases(F.col("d")).alias("p"))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["p"] for r in got.collect()] == [["a b c", "b c d", "a b", "b c", "c d", "a", "b", "c", "d"], ["a"], [], None]
+
+
+def test_questions_are_worked_out_once(spark):
+    """The patterns of a question run once, however many parts read its slots, and its baseline is cut once."""
+    profile = spark.createDataFrame([(1, 25)], "user_id BIGINT, salary_day INT")
+    asked = spark.createDataFrame([(1, 0, 1, "Compare my groceries to last month"), (1, 1, 1, "fees for school and data")], "conv_id BIGINT, turn BIGINT, user_id BIGINT, text STRING")
+    slots = qa.extract_slots(asked, profile, category_dim(spark), D(2001, 8, 20))
+    assert "afford" not in slots._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["turn"]: (r["intent"], r["label"], r["period"]["label"]) for r in slots.collect()}
+    assert got == {0: ("compare", "Groceries", "this month"), 1: (None, "Education", "this month")}
+    period = qa.with_asked_period(asked.withColumn("salary_day", F.lit(25)), "text", D(2001, 8, 20), "salary_day")
+    assert period._jdf.queryExecution().optimizedPlan().toString().count(qa.BASELINE) <= 2
